@@ -6,7 +6,7 @@ import importlib
 
 from codestrata.llm import registry
 
-MODULES = ("fusion", "frequency", "cooccurrence", "tokens", "spans", "leakage")
+MODULES = ("fusion", "frequency", "provenance", "cooccurrence", "tokens", "spans", "leakage")
 
 for _m in MODULES:
     importlib.import_module(f"codestrata.llm.{_m}")
