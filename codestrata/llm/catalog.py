@@ -6,7 +6,7 @@ import importlib
 
 from codestrata.llm import registry
 
-MODULES = ("fusion", "docpairs", "frequency", "provenance", "cooccurrence", "tokens", "spans", "leakage")
+MODULES = ("fusion", "docpairs", "frequency", "provenance", "cooccurrence", "syntax", "tokens", "leakage", "spans")
 
 for _m in MODULES:
     importlib.import_module(f"codestrata.llm.{_m}")
