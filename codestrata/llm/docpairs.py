@@ -161,7 +161,7 @@ def says_something(doc: str | None, *names: str | None) -> bool:
 
 _COMMENT_C = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|(/\*.*?\*/|//[^\n]*(?:\n[ \t]*//[^\n]*)*)', re.S)
 _COMMENT_PY = re.compile(r'("""(?:.|\n)*?"""|\'\'\'(?:.|\n)*?\'\'\'|\#[^\n]*(?:\n[ \t]*\#[^\n]*)*)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'')
-_TAG_NAMES = re.compile(r"(?m)(?:[@\\]param|:param)\s+(?:\{[^}]*\}\s*)?(?:[\w<>\[\], ]+\s)?\[?(\w+)")
+_TAG_NAMES = re.compile(r"(?m)(?:[@\\]param|:param)\s+(?:\{[^}]*\}\s*)?\[?(\w+)")
 _PARAMS = re.compile(r"[\w$]+")
 _SQUEEZE = re.compile(r"[\W_]+")
 

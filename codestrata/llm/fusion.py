@@ -101,29 +101,30 @@ def global_rank(cells: DataFrame, score: str, weight: str = "n", buckets: int =
 
 
 def fuse(df: DataFrame, scores: dict[str, float], round_to: int = 6) -> DataFrame:
-    """``df`` with ``fused`` in (0, 1) and ``rank`` added; ``scores``: column -> weight."""
+    """``df`` with ``fused`` in (0, 1) and ``rank`` in place of any such columns; ``scores``: column -> weight."""
     names = list(scores)
-    plain = df
+    plain = df.drop("fused", "rank")
     for c in names:
         plain = plain.withColumn(c, F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c)))
-    cells = cut(plain.groupBy(*names).agg(F.count("*").alias("n")))
+    inner = {c: f"__score_{i}" for i, c in enumerate(names)}
+    cells = cut(plain.groupBy(*[F.col(c).alias(a) for c, a in inner.items()]).agg(F.count("*").alias("n")))
     logs, weights = [], []
-    for c in names:
-        med, scale = robust_stats(cells, c)
-        z = (F.col(c) - F.lit(med)) / F.lit(scale) if scale else F.lit(0.0)
-        there = F.col(c).isNotNull()
+    for c, a in inner.items():
+        med, scale = robust_stats(cells, a)
+        z = (F.col(a) - F.lit(med)) / F.lit(scale) if scale else F.lit(0.0)
+        there = F.col(a).isNotNull()
         logs.append(F.when(there, F.lit(float(scores[c])) * -F.log(1 + F.exp(F.least(F.lit(700.0), -z)))).otherwise(0.0))
         weights.append(F.when(there, F.lit(float(scores[c]))).otherwise(0.0))
     w = sum(weights[1:], weights[0])
     fused = F.round(F.when(w > 0, F.exp(sum(logs[1:], logs[0]) / w)), round_to)
     scored = cells.withColumn("fused", fused)
     ranks = global_rank(scored, "fused").withColumnRenamed("fused", "rf")
-    table = scored.join(ranks, F.col("fused") == F.col("rf"), "left").select(*[F.col(c).alias(f"_{c}") for c in names], "fused", "rank")
+    table = scored.join(ranks, F.col("fused") == F.col("rf"), "left").select(*inner.values(), "fused", "rank")
     same = None
-    for c in names:
-        e = plain[c].eqNullSafe(F.col(f"_{c}"))
+    for c, a in inner.items():
+        e = plain[c].eqNullSafe(F.col(a))
         same = e if same is None else same & e
-    return plain.join(table, same, "left").drop(*[f"_{c}" for c in names])
+    return plain.join(table, same, "left").drop(*inner.values())
 
 
 def callable_scores(symbols: DataFrame, files: DataFrame) -> DataFrame:
