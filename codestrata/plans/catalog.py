@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+MODULES = ("call_queries",)
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name`` with its DuckDB equivalent."""
@@ -18,9 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    for m in MODULES:
+        importlib.import_module(f"codestrata.plans.{m}")
+
+
 def queries() -> dict:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    _all()
     return dict(ORACLES)
