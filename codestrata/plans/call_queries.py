@@ -175,7 +175,7 @@ def caller_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("distinct_callers", sql(_SCOPES + f""", {_POPULAR},
 g AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, any_value(file) AS file, max(CASE strength WHEN 'resolved' THEN 3 WHEN 'import-connected' THEN 2 WHEN 'name-match' THEN 1 ELSE 0 END) AS rank FROM e WHERE id IN (SELECT id FROM pop) GROUP BY ALL)
-SELECT id, count(*) AS callers, count(DISTINCT file) AS files, count_if(rank = 3) AS structural, count_if(rank IN (1, 2)) AS name_match, count_if(rank = 0) AS weak_member FROM g GROUP BY id"""))
+SELECT id, count(*) AS callers, count(DISTINCT file) AS files, count(*) FILTER (WHERE rank = 3) AS structural, count(*) FILTER (WHERE rank IN (1, 2)) AS name_match, count(*) FILTER (WHERE rank = 0) AS weak_member FROM g GROUP BY id"""))
 def distinct_callers(spark: SparkSession, d: str) -> DataFrame:
     s = scoped(spark, d)
     return graph.count_callers(s.edges(stated_targets(s)))
