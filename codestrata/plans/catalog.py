@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-MODULES = ("call_queries", "index_queries", "text_queries")
+MODULES = ("call_queries", "index_queries", "text_queries", "extract_queries")
 
 
 def query(name: str, sql: str | None = None):
