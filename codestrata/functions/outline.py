@@ -61,9 +61,9 @@ SPECS: dict[str, Spec] = {
                stop=_w("make len cap append new panic print println copy delete close min max recover complex real imag clear")),
     "rust": Spec({"struct": "class", "union": "class", "enum": "enum", "trait": "interface", "mod": "module", "impl": "impl"}, _w("fn"), vars=_w("const static"), exported="pub", extension=_w("impl"), imports=r"^\s*(?:pub\s+)?use\s+(?P<module>[\w:]+?)(?:::(?P<name>\w+|\*|\{[^}]*\}))?(?:\s+as\s+(?P<alias>\w+))?\s*;",
                  strings=r"r#*\"[^\"]*\"#*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'", decisions=_w("if for while loop && || ? =>"), loops=_w("for while loop")),
-    "swift": Spec({"class": "class", "struct": "class", "actor": "class", "enum": "enum", "protocol": "interface", "extension": "impl"}, _w("func init deinit subscript"), vars=_w("let var"), exported="notprivate", extension=_w("extension"), imports=r"^\s*(?:@\w+\s+)?import\s+(?:\w+\s+)?(?P<module>[\w.]+)",
+    "swift": Spec({"class": "class", "struct": "class", "actor": "class", "enum": "enum", "protocol": "interface", "extension": "impl"}, _w("func init deinit subscript"), vars=_w("let var"), exported="notprivate", extension=_w("extension"), imports=r"^[ \t]*(?:@\w+[ \t]+)?import[ \t]+(?:\w+[ \t]+)?(?P<module>[\w.]+)",
                   import_kind="module", decisions=_w("if for while case catch guard repeat ?")),
-    "kotlin": Spec({"class": "class", "object": "class", "interface": "interface"}, _w("fun constructor"), vars=_w("val var"), exported="notprivate", imports=r"^\s*import\s+(?P<module>[\w.]+?)\.(?P<name>\w+|\*)(?:\s+as\s+(?P<alias>\w+))?", decisions=_w("if for while catch && || ?: ->")),
+    "kotlin": Spec({"class": "class", "object": "class", "interface": "interface"}, _w("fun constructor"), vars=_w("val var"), exported="notprivate", imports=r"^[ \t]*import[ \t]+(?P<module>[\w.]+?)\.(?P<name>\w+|\*)(?:[ \t]+as[ \t]+(?P<alias>\w+))?[ \t;]*$", decisions=_w("if for while catch && || ?: ->")),
     "dart": Spec({"class": "class", "mixin": "class", "enum": "enum", "extension": "impl"}, bare=True, bare_top=True, typed_vars=True, vars=_w("final const var late"), exported="underscore", extension=_w("extension"), imports=r"import\s+['\"](?P<module>[^'\"]+)['\"](?:\s+as\s+(?P<alias>\w+))?(?:\s+show\s+(?P<names>[\w, ]+))?", decisions=_w("if for while case catch && || ? ??")),
     "csharp": Spec({"class": "class", "struct": "class", "record": "class", "interface": "interface", "enum": "enum", "namespace": "module"}, bare=True, typed_vars=True, exported="public", ctor="constructor", imports=r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:(?P<alias>\w+)\s*=\s*)?(?P<module>[\w.]+)\s*;", import_kind="namespace", strings=r"@\"(?:\"\"|[^\"])*\"|\$?" + _QUOTES,
                    decisions=_w("if for foreach while case catch && || ? ?? and or"), loops=_w("for foreach while do"), stop=_w("nameof base")),
@@ -75,7 +75,14 @@ SPECS: dict[str, Spec] = {
 }
 SPECS["javascript"] = SPECS["tsx"] = SPECS["typescript"]
 
-_CONTROL = _w("if for while switch catch do else return try finally foreach when match guard unless elif synchronized using lock fixed new throw await yield case typeof instanceof in of delete void sizeof async with defer go select loop repeat unsafe as is not and or default")
+_CONTROL = _w("if for while switch catch do else return try finally new throw case typeof instanceof delete void sizeof default function class")
+#: Further words of a language that a parenthesis may follow without a call.
+_EXTRA = {
+    "typescript": _w("await yield of in async with"), "java": _w("synchronized assert yield"), "go": _w("go defer select range func chan map"), "rust": _w("match loop unsafe await as in impl fn where"),
+    "swift": _w("guard repeat defer await as is in where func"), "kotlin": _w("when fun as is in val var"), "dart": _w("await yield in is as"), "csharp": _w("foreach lock using fixed await when not and or is as in checked unchecked"),
+    "php": _w("foreach elseif match fn use and or xor"), "cpp": _w("co_await co_return alignas requires"), "c": _w(""), "objc": _w(""),
+}
+_EXTRA["javascript"] = _EXTRA["tsx"] = _EXTRA["typescript"]
 _HEAD_STOP = _w("; { } ( ) [ ] , = . => -> :: ? & | ! < > + - * / return new throw case else await yield goto typeof in instanceof".replace("* ", "").replace("< > ", "").replace(") ", "").replace("] ", "").replace("& ", ""))
 
 
@@ -170,6 +177,8 @@ def _python(text: str) -> dict:
                     walk_calls(b, i)
             elif isinstance(n, ast.ClassDef):
                 i = add(n.name, "class", n, qualifier, head(n), ast.get_docstring(n), exported and visible(n.name))
+                for d in n.decorator_list:
+                    walk_calls(d, None)
                 visit(n.body, n.name, i, symbols[i]["exported"])
             elif isinstance(n, (ast.Import, ast.ImportFrom)):
                 take_import(n)
@@ -332,7 +341,7 @@ _LEXERS: dict = {}
 def _tokens(text: str, spec: Spec):
     key = (spec.comments, spec.strings)
     if key not in _LEXERS:
-        _LEXERS[key] = re.compile(f"(?P<c>{spec.comments})|(?P<s>{spec.strings})|(?P<t>@?{_REST})", re.S)
+        _LEXERS[key] = re.compile(f"(?P<c>{spec.comments})|(?P<s>{spec.strings})|(?P<t>@?(?:{_REST}))", re.S)
     toks, comments, line, at = [], {}, 1, 0
     for m in _LEXERS[key].finditer(text):
         line += text.count("\n", at, m.start())
@@ -356,6 +365,7 @@ def _is_name(t: str) -> bool:
 def _braces(text: str, spec: Spec, language: str) -> dict:
     toks, comments = _tokens(text, spec)
     words = [t for t, _, _ in toks]
+    control = _CONTROL | _EXTRA[language]
     n = len(words)
     jump, stack = {}, []
     pairs = {"(": ")", "[": "]", "{": "}"}
@@ -482,7 +492,7 @@ def _braces(text: str, spec: Spec, language: str) -> dict:
             if t in spec.vars and i + 1 < end and _is_name(words[i + 1]) and words[i + 1] not in spec.funcs and words[i + 1] not in spec.types:
                 i = take_variable(i, i + 1, end, qualifier, owner_ok)
                 continue
-            if spec.bare and (in_class or spec.bare_top) and _is_name(t) and i + 1 < end and t not in _CONTROL and prev not in (".", "->", "=", "return", "new", "?."):
+            if spec.bare and (in_class or spec.bare_top) and _is_name(t) and i + 1 < end and t not in control and prev not in (".", "->", "=", "return", "new", "?."):
                 k = i + 1
                 if words[k] == "<" and language in ("typescript", "java", "csharp", "dart", "tsx", "javascript"):
                     while k < end and words[k] not in (">", ";", "{"):
@@ -501,7 +511,7 @@ def _braces(text: str, spec: Spec, language: str) -> dict:
                         name = spec.ctor if spec.ctor and t == qualifier else t
                         i = take_function(i, i, name, q, owner_ok, bool(q))
                         continue
-            if spec.typed_vars and (in_class or spec.bare_top) and _is_name(t) and i + 1 < end and words[i + 1] in ("=", ";", "[") and (_is_name(prev) or prev in (">", "]", "*", "&", "?")) and prev not in _CONTROL and prev not in ("import", "package", "using", "namespace", "goto"):
+            if spec.typed_vars and (in_class or spec.bare_top) and _is_name(t) and i + 1 < end and words[i + 1] in ("=", ";", "[") and (_is_name(prev) or prev in (">", "]", "*", "&", "?")) and prev not in control and prev not in ("import", "package", "using", "namespace", "goto"):
                 i = take_variable(i, i, end, qualifier, owner_ok)
                 continue
             if t == "{" and i in jump:
@@ -609,7 +619,7 @@ def _braces(text: str, spec: Spec, language: str) -> dict:
 
     def calls_in(a, b, source):
         for i in range(a, min(b, n - 1)):
-            if words[i + 1] == "(" and _is_name(words[i]) and words[i].rstrip("?!") not in _CONTROL and words[i] not in spec.stop and words[i] not in spec.funcs:
+            if words[i + 1] == "(" and _is_name(words[i]) and words[i].rstrip("?!") not in control and words[i] not in spec.stop and words[i] not in spec.funcs:
                 prev = words[i - 1] if i else ""
                 recv = None
                 if prev in (".", "->", "?.", "::"):
@@ -617,7 +627,7 @@ def _braces(text: str, spec: Spec, language: str) -> dict:
                     recv = p if _is_name(p) and not (i > 2 and words[i - 3] in (".", "->", "?.")) else OPAQUE
                     if recv in ("super", "base", "parent"):
                         continue
-                elif _is_name(prev) and prev not in _CONTROL and prev not in ("new", "await", "throw", "export", "default", "let", "const", "var") and language in ("c", "cpp", "java", "csharp", "dart", "objc"):
+                elif _is_name(prev) and prev not in control and prev not in ("new", "await", "throw", "export", "default", "let", "const", "var") and language in ("c", "cpp", "java", "csharp", "dart", "objc"):
                     continue
                 calls.append({"source": source, "target_name": words[i].rstrip("?!"), "receiver": recv, "self_receiver": True if recv in SELF else None, "line": toks[i][1]})
 

@@ -28,10 +28,10 @@ def anchor_verdicts(anchors: DataFrame, files: DataFrame, symbols: DataFrame) ->
 def note_verdicts(notes: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The worst verdict over a note's anchors; unverified without anchors."""
     rank = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(SEVERITY) for x in (v, i)]), F.col("verdict"))
-    w = verdicts.groupBy(F.col("note_id").alias("_n")).agg(F.max(rank).alias("_r"), F.count("*").alias("anchors"))
+    w = verdicts.groupBy(F.col("note_id").alias("_n")).agg(F.max(rank).alias("_r"), F.count("*").alias("_k"))
     names = F.array(*[F.lit(v) for v in SEVERITY])
     out = notes.join(w, F.col("id") == F.col("_n"), "left")
-    return out.withColumn("verdict", F.get(names, F.coalesce("_r", F.lit(1)))).withColumn("anchors", F.coalesce("anchors", F.lit(0))).drop("_n", "_r")
+    return out.withColumn("verdict", F.get(names, F.coalesce("_r", F.lit(1)))).withColumn("anchor_count", F.coalesce("_k", F.lit(0))).drop("_n", "_r", "_k")
 
 
 def knowledge_counts(notes: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def anchor_verdicts(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, ['fresh', 'unverified', 'stale', 'missing'][coalesce(r, 1) + 1] AS verdict, coalesce(anchors, 0) AS anchors FROM nt LEFT JOIN w ON note_id = id"""))
 def recall_summary(spark: SparkSession, d: str) -> DataFrame:
     n, a = sample_notes(spark, d)
-    return notes.note_verdicts(n, notes.anchor_verdicts(a, views.files(spark, d), views.symbols(spark, d))).select("id", "verdict", "anchors")
+    return notes.note_verdicts(n, notes.anchor_verdicts(a, views.files(spark, d), views.symbols(spark, d))).select("id", "verdict", F.col("anchor_count").alias("anchors"))
 
 
 @query("knowledge_counts", sql(_NOTES + " SELECT count(*) FILTER (WHERE id IN (SELECT note_id FROM an)) AS anchored, count(*) FILTER (WHERE id NOT IN (SELECT note_id FROM an)) AS unanchored, (SELECT count(DISTINCT file) FROM an) AS files FROM nt"))
