@@ -190,6 +190,7 @@ class Scoped:
         wants = self.symbols.where(F.char_length("name") >= SHORT_NAME).select("id", "name", F.explode(reach).alias("k")).select("id", "name", "k.tag", "k.place")
         named = wants.join(counts, ["tag", "place", "name"]).select("id", "n")
         res = self.refs.where("target_id is not null and not coalesce(source_id = target_id, false)").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n"))
+        res = res.join(self.symbols.select("id"), "id", "left_semi")
         own = self._own_calls().select("id", F.lit(-1).cast("long").alias("n"))
         total = res.unionByName(named).unionByName(own).groupBy("id").agg(F.sum("n").alias("callers"))
         return total.where("callers > 0")

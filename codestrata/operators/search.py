@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codestrata.session import cut
+
 #: Field boosts of the symbol search and the usual BM25 constants.
 BOOSTS = {"name": 3.0, "signature": 1.5, "doc": 1.0, "fqn": 1.0}
 EXPORTED, K1, B = 1.5, 1.2, 0.75
@@ -73,7 +75,7 @@ def search_symbols(symbols: DataFrame, query: list[str], limit: int = 20, langua
         c = churn.select(F.col("path").alias("_p"), F.col("commits").alias("_c"))
         boost = 1 + 0.5 * F.log1p(F.coalesce("_c", F.lit(0))) / F.log1p(F.lit(float(max(top, 1))))
         hit = hit.join(c, F.col("file") == F.col("_p"), "left").withColumn("score", F.col("score") * boost)
-    hit = hit.withColumn("score", F.round("score", 6)).select("id", "name", "file", "score")
+    hit = cut(hit.withColumn("score", F.round("score", 6)).select("id", "name", "file", "score"))
     total = hit.count()
     return hit.orderBy(F.desc("score"), "file", "name", "id").limit(limit).withColumn("total", F.lit(total).cast("bigint"))
 

@@ -10,9 +10,7 @@ from codestrata.plans import views
 from codestrata.plans.catalog import query
 from codestrata.plans.views import sql
 
-_NORM = "x"
-for _ in range(1):
-    _NORM = "regexp_replace({0}, '(^|/)(\\./)+', '\\1', 'g')"
+_NORM = "regexp_replace({0}, '(^|/)(\\./)+', '\\1', 'g')"
 for _ in range(5):
     _NORM = f"regexp_replace({_NORM}, '(^|/)([^/.][^/]*|\\.[^/.][^/]*)/\\.\\.(/|$)', '\\1')"
 _DIR = "regexp_replace({0}, '/?[^/]*$', '')"
@@ -69,8 +67,25 @@ e AS (
   UNION SELECT target_id, ref_id, source_id, file, line, 'resolved' FROM r WHERE target_id IS NOT NULL AND (source_id IS NULL OR source_id <> target_id) AND target_id IN (SELECT id FROM t))"""
 
 
+_KEPT: dict = {}
+
+
 def scoped(spark: SparkSession, d: str) -> resolve.Scoped:
-    return resolve.Scoped(views.refs(spark, d), views.symbols(spark, d), views.bindings(spark, d), views.files(spark, d))
+    """The scoped calls of a folder; those of the folder asked for last are kept, as an index keeps its edges.
+
+    Kept only while the session and the input files, by name, length and time, are the same.
+    """
+    stamp = [spark.sparkContext.applicationId, d]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for t in ("symbol_refs", "symbols", "file_imports", "files"):
+        at = hadoop(f"{d}/{t}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        stamp += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(at)]
+    key = tuple(stamp)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = resolve.Scoped(views.refs(spark, d), views.symbols(spark, d), views.bindings(spark, d), views.files(spark, d))
+    return _KEPT[key]
 
 
 @query("import_candidates_first_match", sql(_IMPORTS + " SELECT DISTINCT r.file, r.sm AS source_module, target FROM res r JOIN b ON b.file = r.file AND b.source_module = r.sm"))
