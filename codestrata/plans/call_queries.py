@@ -9,6 +9,7 @@ from codestrata.operators import graph, resolve
 from codestrata.plans import views
 from codestrata.plans.catalog import query
 from codestrata.plans.views import sql
+from codestrata.session import load
 
 _NORM = "regexp_replace({0}, '(^|/)(\\./)+', '\\1', 'g')"
 for _ in range(5):
@@ -230,3 +231,24 @@ q AS (SELECT r.*, CASE WHEN coalesce(self_receiver, false) THEN x.cls ELSE recei
 SELECT ref_id, CASE WHEN receiver IS NULL THEN bare_id ELSE member_id END AS resolved_id FROM q LEFT JOIN top ON top.file = q.file AND top.name = target_name LEFT JOIN me ON me.file = q.file AND me.cls = owner AND me.name = target_name"""))
 def same_file_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_same_file(views.refs(spark, d).where("kind = 'calls'"), views.symbols(spark, d)).select("ref_id", "resolved_id")
+
+
+@query("resolved_target_kinds", sql("SELECT coalesce(s.language, 'unknown') AS language, s.kind, count(*) AS calls, count(DISTINCT target_id) AS targets FROM r JOIN s ON s.id = target_id GROUP BY ALL"))
+def resolved_target_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Ground truth: resolved calls by the language and kind of what they reach."""
+    s = views.symbols(spark, d).select(F.col("id").alias("target_id"), F.coalesce("language", F.lit("unknown")).alias("language"), F.col("kind").alias("k"))
+    r = views.refs(spark, d).where("target_id is not null").join(s, "target_id")
+    return r.groupBy("language", F.col("k").alias("kind")).agg(F.count("*").alias("calls"), F.count_distinct("target_id").alias("targets"))
+
+
+@query("calls_seen_in_text", sql("""
+tx AS (SELECT path, max(content) AS content FROM source_texts WHERE content IS NOT NULL GROUP BY path)
+SELECT coalesce(f.language, 'unknown') AS language, count(*) AS calls, count(*) FILTER (WHERE contains(content, target_name)) AS seen FROM r JOIN tx ON tx.path = r.file LEFT JOIN f ON f.path = r.file WHERE target_name IS NOT NULL GROUP BY ALL"""))
+def calls_seen_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """Ground truth: how many calls name something their file's text holds."""
+    t = load(spark, d, "source_texts").where("content is not null").groupBy(F.col("path").alias("file")).agg(F.max("content").alias("content"))
+    f = views.files(spark, d).select(F.col("path").alias("_p"), "language")
+    r = views.refs(spark, d).where("target_name is not null").select("file", "target_name").groupBy("file", "target_name").agg(F.count("*").alias("n"))
+    j = r.join(t, "file").join(f, F.col("file") == F.col("_p"), "left")
+    seen = F.when(F.contains("content", "target_name"), F.col("n")).otherwise(0)
+    return j.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.sum("n").alias("calls"), F.sum(seen).alias("seen"))

@@ -240,3 +240,23 @@ def limit_with_omitted(spark: SparkSession, d: str) -> DataFrame:
     s = views.symbols(spark, d).where("exported and kind = 'function'").select("id", "name", "file")
     total = s.count()
     return s.orderBy("name", "file", "id").limit(20).withColumn("omitted", F.lit(total - 20).cast("bigint"))
+
+
+@query("symbol_sanity", """
+WITH k AS (SELECT id, count(*) AS n, count(DISTINCT file) AS files FROM symbols WHERE id IS NOT NULL GROUP BY id)
+SELECT (SELECT count(*) FROM symbols) AS n_rows, (SELECT count(*) FROM k) AS ids, (SELECT count(*) FROM k WHERE n > 1) AS repeated, (SELECT count(*) FROM k WHERE files > 1) AS moved,
+  (SELECT count(*) FROM symbols WHERE name IS NULL OR trim(name) = '') AS unnamed, (SELECT count(*) FROM symbols WHERE end_line < start_line) AS reversed""")
+def symbol_sanity(spark: SparkSession, d: str) -> DataFrame:
+    """Ground truth: repeated ids, unnamed symbols and reversed ranges of the raw table."""
+    s = load(spark, d, "symbols")
+    k = s.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+    a = k.agg(F.count("*").alias("ids"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("files") > 1).alias("moved")).first()
+    b = s.agg(F.count("*").alias("n_rows"), F.count_if(F.col("name").isNull() | (F.trim("name") == "")).alias("unnamed"), F.count_if(F.col("end_line") < F.col("start_line")).alias("reversed"))
+    return b.select("n_rows", *[F.lit(a[c]).cast("bigint").alias(c) for c in ("ids", "repeated", "moved")], "unnamed", "reversed")
+
+
+@query("seeded_selection", sql("SELECT id, name, file FROM s WHERE name IS NOT NULL AND kind IN ('function', 'method') ORDER BY md5(id || '-7'), id LIMIT 50"))
+def seeded_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A repeatable selection of inputs for spot checks: the order is a hash of id and seed."""
+    s = views.symbols(spark, d).where("name is not null and kind in ('function', 'method')")
+    return s.orderBy(F.md5(F.concat("id", F.lit("-7"))), "id").limit(50).select("id", "name", "file")
