@@ -129,7 +129,7 @@ def reference_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Callers of the stated targets by nearness, weak member calls last and at most 8."""
     s = scoped(spark, d)
     t = stated_targets(s)
-    return graph.rank_references(s.edges(t), t)
+    return graph.rank_references(s.edges(t), t).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("caller_edges_min_line", sql("""

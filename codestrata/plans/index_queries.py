@@ -33,7 +33,7 @@ p AS (SELECT array_to_string(string_split(regexp_replace(file, '/?[^/]*$', ''),
 t AS (SELECT dir, sum(n)::BIGINT AS total FROM p GROUP BY dir ORDER BY total DESC, dir LIMIT 7)
 SELECT * FROM (SELECT dir, total, kind, n, row_number() OVER (PARTITION BY dir ORDER BY n DESC, kind) AS rank FROM p JOIN t USING (dir)) WHERE rank <= 3"""))
 def directory_groups_top(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.directory_groups(views.symbols(spark, d), views.files(spark, d))
+    return lookup.directory_groups(views.symbols(spark, d), views.files(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _ENTRY = "^(index|main|app|server|cli|__main__|__init__)\\.(ts|tsx|js|mjs|cjs|jsx|py|java|go|rs|swift|kt|kts|dart|cs|php|rb|cpp|cc|cxx|c|m)$"
@@ -119,7 +119,7 @@ def unknown_extensions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("shallow_first", sql("SELECT path, len(string_split(path, '/')) AS depth FROM f ORDER BY depth, path LIMIT 100"))
 def shallow_first(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.shallow_first(views.files(spark, d).select("path", F.size(F.split("path", "/")).alias("depth")), limit=100)
+    return lookup.shallow_first(views.files(spark, d).select("path", F.size(F.split("path", "/")).cast("bigint").alias("depth")), limit=100)
 
 
 @query("content_hash_dups", sql("SELECT substring(sha1(content), 1, 16) AS hash, count(DISTINCT path) AS paths, min(path) AS first_path FROM source_texts WHERE content <> '' GROUP BY 1 HAVING count(DISTINCT path) > 1"))
@@ -154,7 +154,7 @@ def cochange_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cochange_partners_topk", sql(_PAIRS + """ SELECT file, partner, shared, pct, rank FROM (SELECT file, partner, shared, pct, row_number() OVER (PARTITION BY repo, file ORDER BY pct DESC, shared DESC, partner) AS rank FROM pa WHERE rk <= 20) WHERE rank <= 5"""))
 def cochange_partners_topk(spark: SparkSession, d: str) -> DataFrame:
-    return history.partners(history.cochange(views.commits(spark, d), views.files(spark, d)), 20, 5).select("file", "partner", "shared", "pct", "rank")
+    return history.partners(history.cochange(views.commits(spark, d), views.files(spark, d)), 20, 5).select("file", "partner", "shared", "pct", "rank").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("cochange_missing_partner", sql(_PAIRS + """,
@@ -164,12 +164,12 @@ SELECT * FROM ms WHERE rank <= 2"""))
 def cochange_missing_partner(spark: SparkSession, d: str) -> DataFrame:
     c = views.commits(spark, d)
     changes = history.newest(c, 20).select(F.explode("files").alias("path"))
-    return history.missing_partners(changes, history.cochange(c, views.files(spark, d)))
+    return history.missing_partners(changes, history.cochange(c, views.files(spark, d))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("recent_commits", sql("SELECT repo, path, commit_ord, ts, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY ts DESC NULLS LAST, commit_ord DESC) AS rank FROM cf) WHERE rank <= 5"))
 def recent_commits(spark: SparkSession, d: str) -> DataFrame:
-    return history.recent(views.commits(spark, d)).select("repo", "path", "commit_ord", "ts", "rank")
+    return history.recent(views.commits(spark, d)).select("repo", "path", "commit_ord", "ts", "rank").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("history_window", sql("SELECT repo, count(*) AS commits, sum(len(files))::BIGINT AS touched FROM c WHERE ts >= (SELECT max(ts) FROM c) - INTERVAL 180 DAY GROUP BY repo"))
@@ -232,7 +232,7 @@ def working_set_rank(spark: SparkSession, d: str) -> DataFrame:
     s = views.symbols(spark, d).join(ch, "file", "left_semi").join(calls, "id", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
     s = s.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy(F.desc("calls"), "start_line", "id")))
     best = s.groupBy("file").agg(F.max("calls").alias("best")).orderBy(F.desc("best"), "file").limit(10)
-    return s.where("rank <= 3").join(F.broadcast(best), "file").select("file", "id", "name", "calls", "rank", "best")
+    return s.where("rank <= 3").join(F.broadcast(best), "file").select("file", "id", "name", "calls", "rank", "best").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("limit_with_omitted", sql("t AS (SELECT id, name, file FROM s WHERE exported AND kind = 'function'), k AS (SELECT *, (SELECT count(*) FROM t) - 20 AS omitted FROM t ORDER BY name NULLS FIRST, file, id LIMIT 20) SELECT * FROM k"))
