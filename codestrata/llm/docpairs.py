@@ -20,6 +20,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from codestrata.llm.registry import query
 from codestrata.session import load
 
-BLOCK_LINES, HOT_BLOCK = 2000, 20_000
+BLOCK_LINES, HOT_BLOCK, OWN_WEIGHT = 2000, 20_000, 3.5
 
 # ---------------------------------------------------------------- does a description say anything
 
@@ -216,37 +217,53 @@ def max_assignment(weight: dict[tuple[int, int], float]) -> dict[int, int]:
         if len(left) == 1:
             out[left[0]] = best[left[0]][1]
             continue
-        n, m = len(left), len(right) + len(left)  # a dummy column each: staying unmatched costs nothing
-        cost = [[-weight.get((i, j), -1e9) for j in right] + [0.0] * n for i in left]
-        u, v, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-        for i in range(1, n + 1):
-            match[0], j0 = i, 0
-            least, used = [float("inf")] * (m + 1), [False] * (m + 1)
-            while True:
-                used[j0] = True
-                i0, delta, j1 = match[j0], float("inf"), 0
-                for j in range(1, m + 1):
-                    if not used[j]:
-                        c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                        if c < least[j]:
-                            least[j], way[j] = c, j0
-                        if least[j] < delta:
-                            delta, j1 = least[j], j
-                for j in range(m + 1):
-                    if used[j]:
-                        u[match[j]] += delta
-                        v[j] -= delta
-                    else:
-                        least[j] -= delta
-                j0 = j1
-                if match[j0] == 0:
-                    break
-            while j0:
-                match[j0] = match[way[j0]]
-                j0 = way[j0]
-        for j in range(1, len(right) + 1):
-            if match[j] and (left[match[j] - 1], right[j - 1]) in weight:
-                out[left[match[j] - 1]] = right[j - 1]
+        flip = len(left) > len(right)  # rows are the smaller side, so the work follows it
+        rows, cols = (right, left) if flip else (left, right)
+        gain = np.zeros((len(rows), len(cols) + len(rows)))  # a spare column each: staying unmatched gains nothing
+        at_row, at_col = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
+        gain[:, : len(cols)] = -1e9
+        for i, j in edges:
+            a, b = (j, i) if flip else (i, j)
+            gain[at_row[a], at_col[b]] = weight[i, j]
+        for r, c in enumerate(_hungarian(-gain)):
+            if c < len(cols):
+                i, j = (cols[c], rows[r]) if flip else (rows[r], cols[c])
+                if (i, j) in weight:
+                    out[i] = j
+    return out
+
+
+def _hungarian(cost: np.ndarray) -> list[int]:
+    """Column of each row in a cheapest full assignment of the rows; needs rows <= columns."""
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    match, way = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while True:
+            used[j0] = True
+            i0 = match[j0]
+            reduced = cost[i0 - 1] - u[i0] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better] = reduced[better]
+            way[1:][better] = j0
+            free = np.where(used[1:], np.inf, least[1:])
+            j1 = int(free.argmin()) + 1
+            delta = free[j1 - 1]
+            u[match[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if match[j]:
+            out[match[j] - 1] = j - 1
     return out
 
 
@@ -290,19 +307,20 @@ def link_file(path: str | None, text: str | None, funcs: list[dict]) -> list[tup
                     if score >= 3:
                         by_doc[i] = j
             cands.append(raw)
-    private = {}
-    for i, f in enumerate(funcs):
-        if f["doc"] and i not in by_doc:
-            private[len(cands)] = i
-            weight[i, len(cands)] = 3.5
-            cands.append(f["doc"])
+    # An indexed description that no comment repeats is a candidate of its function alone, and
+    # outweighs every comment that differs from it (at most 2.5): such functions are matched.
+    own = {i: OWN_WEIGHT for i, f in enumerate(funcs) if f["doc"] and i not in by_doc}
+    rest = {(i, j): w for (i, j), w in weight.items() if i not in own}
+    matched: dict[int, int | None] = dict.fromkeys(own) | max_assignment(rest)
+    # a comment documents one function only; others to which the index gives the same text keep it
+    matched |= {i: None for i, j in by_doc.items() if matched.get(i) != j}
     out = []
-    for i, j in max_assignment(weight).items():
+    for i, j in sorted(matched.items()):
         f = funcs[i]
-        indexed = j in private or by_doc.get(i) == j
+        indexed = j is None or by_doc.get(i) == j
         doc = f["doc"] if indexed else cands[j]
         if says_something(doc, f["name"], (f["fqn"] or "").rsplit(":", 1)[-1].rsplit(".", 1)[-1]):
-            out.append((i, "\n".join(clean_lines(doc)), "index" if indexed else "text", weight[i, j]))
+            out.append((i, "\n".join(clean_lines(doc)), "index" if indexed else "text", OWN_WEIGHT if j is None else weight[i, j]))
     return out
 
 

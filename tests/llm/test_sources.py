@@ -36,6 +36,15 @@ def test_assignment_is_optimal():
         assert abs(sum(w[e] for e in got.items()) - best) < 1e-9
 
 
+def test_many_functions_at_one_place():
+    """Damaged ranges: thousands of functions beside a few comments stay cheap, and every indexed description is kept."""
+    text = "\n".join(f"// Waits for lock {i} to be free.\nfunction f{i}() {{}}" for i in range(30))
+    funcs = [{"id": str(k), "name": f"g{k}", "fqn": None, "start_line": 1 + k % 60, "end_line": 60, "signature": "g()", "doc": "Waits for lock 3 to be free." if k % 3 == 0 else None} for k in range(3000)]
+    out = D.link_file("a.js", text, funcs)
+    assert {i for i, _, origin, _ in out if origin == "index"} == {k for k in range(3000) if k % 3 == 0}
+    assert len([1 for x in out if x[2] == "text"]) <= 30
+
+
 def test_pairs(spark):
     text = "/** Clamps to 12 entries. */\nfunction a(x) {\n}\n\n// Waits for the lock to be free.\n// @param q how long at most\nfunction b(q) {\n}\nfunction c() {}\n"
     rows = [("1", "a", "r/f.js", " Function ", 2, 3, "a(x)", "Clamps to 12 entries."), ("2", "b", "r/f.js", "METHOD", 7, 8, "b(q)", None), ("3", "c", "r/f.js", "function", 9, 9, "c()", "TODO"),
