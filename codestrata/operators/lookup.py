@@ -105,15 +105,19 @@ def find_symbols(symbols: DataFrame, name: str, limit: int = 10, kind: str | Non
     return hit.orderBy(*order).limit(limit)
 
 
-def innermost(sites: DataFrame, spans: DataFrame, key: list[str], line: str = "line", nearest: bool = False) -> DataFrame:
+def innermost(sites: DataFrame, spans: DataFrame, key: list[str], line: str = "line", nearest: bool = False, stretch: int = 64) -> DataFrame:
     """Each site (``key`` + file + line) with the smallest span of its file around it.
 
     With ``nearest`` a site outside all spans gets the span that starts nearest.
     """
-    j = sites.join(spans.select(F.col("file").alias("_f"), F.col("id").alias("span_id"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b")), F.col("file") == F.col("_f"))
+    sp = spans.select(F.col("file").alias("_f"), F.col("id").alias("span_id"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
     inside = (F.col(line) >= F.col("_a")) & (F.col(line) <= F.col("_b"))
-    if not nearest:
-        j = j.where(inside)
+    if nearest:
+        j = sites.join(sp, F.col("file") == F.col("_f"))
+    else:
+        # spans meet sites per stretch of lines, so a file with very many of both isn't a product
+        sp = sp.where("_b >= _a").withColumn("_s", F.explode(F.sequence(F.floor(F.col("_a") / stretch), F.floor(F.col("_b") / stretch))))
+        j = sites.withColumn("_l", F.floor(F.col(line) / stretch)).join(sp, (F.col("file") == F.col("_f")) & (F.col("_l") == F.col("_s"))).where(inside)
     cost = F.when(inside, F.col("_b") - F.col("_a")).otherwise(F.abs(F.col(line) - F.col("_a")))
     best = F.min(F.struct((~inside).cast("int").alias("o"), cost.alias("cost"), F.col("_a").alias("a"), "span_id")).alias("m")
     return j.groupBy(*key).agg(best).select(*key, "m.span_id")
