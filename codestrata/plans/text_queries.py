@@ -67,7 +67,7 @@ def suggest_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pattern_match_lines")
 def pattern_match_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Matches of a structural pattern with their innermost symbol; checked against a plain matcher in the tests."""
+    """Matches of a structural pattern with their innermost symbol."""
     t = load(spark, d, "source_texts").where(F.col("path").rlike("\\.(ts|js|mjs|cjs)$")).groupBy("path").agg(F.max("content").alias("content"))
     m = search.pattern_matches(t, "let $A = $F($B, $C[$D]);").withColumnRenamed("path", "file")
     s = lookup.innermost(m.select("file", "line").distinct(), views.symbols(spark, d).where("start_line is not null"), ["file", "line"])
