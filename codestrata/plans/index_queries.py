@@ -36,6 +36,7 @@ def directory_groups_top(spark: SparkSession, d: str) -> DataFrame:
     return lookup.directory_groups(views.symbols(spark, d), views.files(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+#: Fixed value: names of files that start a program.
 _ENTRY = "^(index|main|app|server|cli|__main__|__init__)\\.(ts|tsx|js|mjs|cjs|jsx|py|java|go|rs|swift|kt|kts|dart|cs|php|rb|cpp|cc|cxx|c|m)$"
 
 
