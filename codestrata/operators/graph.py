@@ -60,14 +60,64 @@ def group_callers(edges: DataFrame) -> DataFrame:
     return edges.groupBy("id", caller.alias("caller")).agg(F.count("*").alias("sites"), F.min("line").alias("first_line"), F.max(strength_rank(F.col("strength"))).alias("rank"))
 
 
-def count_callers(edges: DataFrame) -> DataFrame:
-    """Distinct callers and files of each target, by tier of the strongest edge."""
+def group_all_callers(split) -> DataFrame:
+    """:func:`group_callers` for every symbol: general calls are grouped before they meet the symbols of their name."""
     caller = F.coalesce("source_id", F.concat(F.lit("m:"), "file"))
-    g = edges.groupBy("id", caller.alias("caller")).agg(F.max("file").alias("file"), F.max(strength_rank(F.col("strength"))).alias("rank"))
-    return g.groupBy("id").agg(
-        F.count("*").alias("callers"), F.count_distinct("file").alias("files"), F.count_if(F.col("rank") == 3).alias("structural"),
-        F.count_if(F.col("rank").isin(1, 2)).alias("name_match"), F.count_if(F.col("rank") == 0).alias("weak_member"),
-    )
+    g = split.general.groupBy("cls", "name", "file", caller.alias("caller")).agg(F.count("*").alias("sites"), F.min("line").alias("first_line"), F.max(strength_rank(F.col("strength"))).alias("rank"))
+    g = g.join(split.members.select("id", "cls", "name"), ["cls", "name"]).join(split.pairs.select("id", "file"), ["id", "file"], "left_anti")
+    return g.select("id", "caller", "sites", "first_line", "rank").unionByName(group_callers(split.exact))
+
+
+def count_callers(split) -> DataFrame:
+    """Distinct callers and files of every symbol, by tier of the strongest edge."""
+
+    def per_file(edges, keys):
+        caller = F.coalesce("source_id", F.concat(F.lit("m:"), "file"))
+        g = edges.groupBy(*keys, "file", caller.alias("caller")).agg(F.max(strength_rank(F.col("strength"))).alias("rank"))
+        return g.groupBy(*keys, "file").agg(
+            F.count("*").alias("callers"), F.lit(1).cast("bigint").alias("files"), F.count_if(F.col("rank") == 3).alias("structural"),
+            F.count_if(F.col("rank").isin(1, 2)).alias("name_match"), F.count_if(F.col("rank") == 0).alias("weak_member"),
+        )
+
+    return split.sums(per_file, ["callers", "files", "structural", "name_match", "weak_member"])
+
+
+def count_strengths(split) -> DataFrame:
+    """Call sites and files of every symbol by strength."""
+
+    def per_file(edges, keys):
+        return edges.groupBy(*keys, "file", "strength").agg(F.count("*").alias("sites"), F.lit(1).cast("bigint").alias("files"))
+
+    return split.sums(per_file, ["sites", "files"], ("strength",))
+
+
+def leading_references(split, limit: int = 20) -> DataFrame:
+    """Edges of every symbol, enough of them for :func:`rank_references` with ``limit``.
+
+    Of the general calls, the first ``limit`` of each strength and of each folder near by go to all
+    symbols of their name. A call that gets a better tier for some symbol leaves the others'
+    places as they are; for the calls that a symbol makes itself, as many more are kept.
+    """
+    order = ["file", "line", "ref_id"]
+    g = split.general.withColumn("here", dirname(F.col("file"))).withColumn("_by", F.coalesce("source_id", F.concat(F.lit("r:"), F.col("ref_id").cast("string"))))
+
+    def first(df, *keys):
+        one, all_ = W.partitionBy(*keys, "_by").orderBy(*order), W.partitionBy(*keys).orderBy(*order)
+        df = df.withColumn("_n", F.row_number().over(one)).where(F.col("_n") <= limit)
+        df = df.withColumn("_r", F.row_number().over(all_)).withColumn("_m", F.max("_n").over(all_.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        return df.where(F.col("_r") - F.col("_m") <= limit)
+
+    t = split.members.select("id", "cls", "name", F.col("dir").alias("tdir"))
+    up = t.withColumn("tup", dirname(F.col("tdir")))
+    plain = g.where("strength = 'name-match'").withColumn("tup", dirname(F.col("here")))
+    cols = ["id", "ref_id", "source_id", "file", "line", "here", "tdir", "strength"]
+    got = first(g, "cls", "name", "strength").join(t, ["cls", "name"]).select(*cols)
+    got = got.unionByName(first(plain, "cls", "name", "tup").join(up, ["cls", "name", "tup"]).select(*cols))
+    got = got.unionByName(first(plain.drop("tup"), "cls", "name", "here").join(up.withColumn("here", F.col("tup")), ["cls", "name", "here"]).select(*cols))
+    got = got.where(~F.coalesce(F.col("source_id") == F.col("id"), F.lit(False)))
+    close = (F.col("strength") == "name-match") & (F.col("here") == F.col("tdir"))
+    got = got.withColumn("strength", F.when(close, "import-connected").otherwise(F.col("strength"))).drop("here", "tdir")
+    return got.unionByName(split.exact).distinct()
 
 
 def rank_references(edges: DataFrame, targets: DataFrame, limit: int = 20, weak: int = 8) -> DataFrame:

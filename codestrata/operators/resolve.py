@@ -125,6 +125,7 @@ class Scoped:
     """Unresolved calls with their scopes; the base of fan-in and of caller edges."""
 
     def __init__(self, refs: DataFrame, symbols: DataFrame, bindings: DataFrame, files: DataFrame):
+        self._split = None
         refs, files, bindings = cut(refs), cut(files), cut(bindings)
         self.refs, self.files, self.bindings = refs, files, bindings
         t = symbols.where("name is not null")
@@ -199,17 +200,28 @@ class Scoped:
         """(id, ref_id): unresolved calls inside a symbol that would count as calls of itself."""
         return self.edges(self.symbols, own=True).select("id", "ref_id")
 
-    def edges(self, targets: DataFrame, own: bool = False) -> DataFrame:
+    def split(self) -> "Split":
+        """The edges of all symbols in parts that grow with calls and symbols, not with their product; made once."""
+        if self._split is None:
+            self._split = Split(self)
+        return self._split
+
+    def edges(self, targets: DataFrame, own: bool = False, pairs: DataFrame | None = None) -> DataFrame:
         """(id, ref_id, source_id, file, line, strength) of the calls of given symbols.
 
         For a stated set of targets; calls meet them by name. ``own`` gives unresolved
-        recursion alone, which meets on the calling symbol.
+        recursion alone, which meets on the calling symbol. With ``pairs`` (id, file), unresolved
+        calls meet a symbol only from its files there.
         """
         t = targets.select(*[F.col(c).alias(f"t_{c}") for c in self.symbols.columns])
         long = t.where(F.char_length("t_name") >= SHORT_NAME)
+        if pairs is not None:
+            long = long.join(pairs.select(F.col("id").alias("t_id"), F.col("file").alias("t_from")), "t_id")
 
         def meet(refs, name="target_name"):
             on = F.col(name) == F.col("t_name")
+            if pairs is not None:
+                on = on & (F.col("file") == F.col("t_from"))
             self_call = F.coalesce(F.col("source_id") == F.col("t_id"), F.lit(False))
             return refs.join(long, on & (F.col("source_id") == F.col("t_id"))) if own else refs.join(long, on & ~self_call)
 
@@ -232,6 +244,12 @@ class Scoped:
         found = found.unionByName(m.select(*cols, "receiver")).unionByName(a.select(*cols, F.lit(None).cast("string").alias("receiver"))).distinct()
         if own:
             return found
+        out = self.classed(found, dirname(F.col("file")) == F.col("tdir")).select("id", "ref_id", "source_id", "file", "line", "strength")
+        hit = self.refs.where("target_id is not null and not coalesce(source_id = target_id, false)").join(t.select("t_id"), F.col("target_id") == F.col("t_id"))
+        return out.unionByName(hit.select(F.col("t_id").alias("id"), "ref_id", "source_id", "file", "line", F.lit("resolved").alias("strength"))).distinct()
+
+    def classed(self, found: DataFrame, near=None) -> DataFrame:
+        """``found`` (file, name, receiver, ...) with the strength of its unresolved edges; ``near`` are bare calls from the symbol's folder."""
         imported = self.bindings.select(F.col("file").alias("f1"), F.explode(F.array("name", "alias")).alias("n1")).where("n1 is not null").distinct()
         wild = self.bindings.where(wildcard()).select(F.col("file").alias("f2")).distinct()
         spaces = self.bindings.where(F.col("bind").isin("namespace", "module")).select(F.col("file").alias("f3"), F.col("local").alias("l3")).distinct()
@@ -240,14 +258,62 @@ class Scoped:
             .join(wild, F.col("file") == F.col("f2"), "left")
             .join(spaces, (F.col("file") == F.col("f3")) & (F.col("receiver") == F.col("l3")), "left")
         )
-        bare_near = F.col("f1").isNotNull() | F.col("f2").isNotNull() | (dirname(F.col("file")) == F.col("tdir"))
+        bare_near = F.col("f1").isNotNull() | F.col("f2").isNotNull() | (F.lit(False) if near is None else near)
         strength = (
             F.when(F.col("receiver").isNull(), F.when(bare_near, "import-connected").otherwise("name-match"))
             .when((F.col("receiver") != OPAQUE) & F.col("f3").isNotNull(), "import-connected").otherwise("weak-member")
         )
-        out = found.select("id", "ref_id", "source_id", "file", "line", strength.alias("strength"))
-        hit = self.refs.where("target_id is not null and not coalesce(source_id = target_id, false)").join(t.select("t_id"), F.col("target_id") == F.col("t_id"))
-        return out.unionByName(hit.select(F.col("t_id").alias("id"), "ref_id", "source_id", "file", "line", F.lit("resolved").alias("strength"))).distinct()
+        return found.withColumn("strength", strength).drop("f1", "n1", "f2", "f3", "l3")
+
+
+class Split:
+    """The caller edges of all symbols in two parts, so that a hot name costs a sum and not a product.
+
+    Most calls reach every symbol of a name that may be called in their way, wherever it
+    stands: ``general`` has these once per (cls, name), and ``members`` the symbols of each.
+    What depends on the place (own, resolved and admitted calls, the symbol's file and folder)
+    is decided for (symbol, calling file) in ``pairs``, and ``exact`` has all edges of those.
+    A caller lies in one file, so a symbol's figures are those of its (cls, name), less its
+    pairs' share in them, plus those of ``exact``.
+    """
+
+    def __init__(self, s: Scoped):
+        b, m = F.col("bare_ok"), (F.col("bare_ok") | (F.col("kind") == "method")) & F.col("exported")
+        cls = F.concat(F.when(b, "b").otherwise(""), F.when(m, "m").otherwise(""), F.when(m & ~F.col("member"), "p").otherwise(""))
+        self.members = cut(s.symbols.where(F.char_length("name") >= SHORT_NAME).select("id", "name", "file", "dir", cls.alias("cls")))
+        cols, none = ["ref_id", "source_id", "file", "line"], F.lit(None).cast("string").alias("receiver")
+
+        def reaching(df, name, receiver, *classes):
+            return df.select(*cols, F.col(name).alias("name"), receiver, F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
+
+        alias = s.alias.where("target_id is null")
+        found = (
+            reaching(s.bare.where("open"), "target_name", none, "b", "bm", "bmp").unionByName(reaching(alias.where("to is null"), "export", none, "b", "bm", "bmp"))
+            .unionByName(reaching(s.member.where("reach = 'all'"), "target_name", F.col("receiver"), "bm", "bmp", "m", "mp"))
+            .unionByName(reaching(s.member.where("reach = 'top'"), "target_name", F.col("receiver"), "bmp", "mp"))
+        )
+        found = found.join(self.members.select("cls", "name").distinct(), ["cls", "name"], "left_semi").distinct()
+        self.general = cut(s.classed(found).select("cls", "name", *cols, "strength"))
+        called = s.bare.select("file", F.col("target_name").alias("name")).unionByName(s.member.select("file", F.col("target_name").alias("name"))).unionByName(alias.select("file", F.col("export").alias("name"))).distinct()
+        there = self.members.select("id", "cls", "name", F.col("file").alias("at"), F.col("dir").alias("in"))
+        tied = (
+            s.admitted.select("file", F.col("call").alias("name"), F.col("target").alias("at")).unionByName(alias.select("file", F.col("export").alias("name"), F.col("to").alias("at")))
+            .unionByName(s.member.where("reach = 'file'").select("file", F.col("target_name").alias("name"), F.col("target").alias("at"))).where("at is not null").distinct()
+        )
+        near = called.withColumn("in", dirname(F.col("file"))).join(there, ["in", "name"]).select("id", "cls", "name", "file")
+        near = near.unionByName(tied.join(there, ["at", "name"]).select("id", "cls", "name", "file"))
+        hit = s.refs.where("target_id is not null").select(F.col("target_id").alias("id"), F.col("file").alias("from")).distinct()
+        near = near.unionByName(hit.join(self.members, "id").select("id", "cls", "name", F.col("from").alias("file")))
+        self.pairs = cut(near.distinct())
+        self.exact = cut(s.edges(s.symbols, pairs=self.pairs))
+
+    def sums(self, per_file, numbers: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+        """(id, *by, *numbers) of all symbols; ``per_file`` turns edges and key columns into ``numbers`` per key, file and ``by``."""
+        g = cut(per_file(self.general, ["cls", "name"]))
+        add = lambda df, sign=1: df.select("id", *by, *[(sign * F.col(n)).alias(n) for n in numbers])
+        whole = g.groupBy("cls", "name", *by).agg(*[F.sum(n).alias(n) for n in numbers])
+        parts = add(self.members.join(whole, ["cls", "name"])).unionByName(add(self.pairs.join(g, ["cls", "name", "file"]), -1)).unionByName(add(per_file(self.exact, ["id"])))
+        return parts.groupBy("id", *by).agg(*[F.sum(n).alias(n) for n in numbers]).where(F.col(numbers[0]) > 0)
 
 
 def resolve_same_file(calls: DataFrame, symbols: DataFrame, types: tuple[str, ...] = ("class", "type")) -> DataFrame:

@@ -105,18 +105,14 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("target_id").alias("callees"))
 
 
+#: The 200 symbols that the SQL of the edge reports has; the queries have all.
 _POPULAR = "pop AS (SELECT id FROM t WHERE length(name) >= 9 AND exported ORDER BY md5(id), id LIMIT 200)"
 
 
-def stated_targets(s: resolve.Scoped, n: int = 200) -> DataFrame:
-    """A stated set of targets for the edge reports."""
-    return s.symbols.where("char_length(name) >= 9 and exported").orderBy(F.md5("id"), "id").limit(n)
-
-
 @query("edge_strength_tiers", sql(_SCOPES + f""", {_POPULAR} SELECT id, strength, count(*) AS sites, count(DISTINCT file) AS files FROM e WHERE id IN (SELECT id FROM pop) GROUP BY ALL"""))
 def edge_strength_tiers(spark: SparkSession, d: str) -> DataFrame:
-    s = scoped(spark, d)
-    return s.edges(stated_targets(s)).groupBy("id", "strength").agg(F.count("*").alias("sites"), F.count_distinct("file").alias("files"))
+    """Call sites and files of every symbol by strength; the SQL has 200 symbols only."""
+    return graph.count_strengths(scoped(spark, d).split())
 
 
 @query("reference_ranks", sql(_SCOPES + f""", {_POPULAR},
@@ -126,10 +122,9 @@ w AS (SELECT *, row_number() OVER (PARTITION BY id, tier = 5 ORDER BY tier, file
 x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, file, line, ref_id) AS rank FROM w WHERE tier < 5 OR rw <= 8)
 SELECT id, ref_id, file, line, tier, rank FROM x WHERE rank <= 20"""))
 def reference_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of the stated targets by nearness, weak member calls last and at most 8."""
+    """Callers of every symbol by nearness, weak member calls last and at most 8; the SQL has 200 symbols only."""
     s = scoped(spark, d)
-    t = stated_targets(s)
-    return graph.rank_references(s.edges(t), t).withColumn("rank", F.col("rank").cast("bigint"))
+    return graph.rank_references(graph.leading_references(s.split()), s.symbols).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("caller_edges_min_line", sql("""
@@ -184,17 +179,16 @@ def impact_by_hop(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, count(*) AS sites, min(line) AS first_line, max(CASE strength WHEN 'resolved' THEN 3 WHEN 'import-connected' THEN 2 WHEN 'name-match' THEN 1 ELSE 0 END) AS rank
   FROM e WHERE id IN (SELECT id FROM pop) GROUP BY ALL) SELECT * FROM g"""))
 def caller_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Call sites of the stated targets, one row per calling symbol or, at module level, file."""
-    s = scoped(spark, d)
-    return graph.group_callers(s.edges(stated_targets(s)))
+    """Call sites of every symbol, one row per calling symbol or, at module level, file; the SQL has 200 symbols only."""
+    return graph.group_all_callers(scoped(spark, d).split())
 
 
 @query("distinct_callers", sql(_SCOPES + f""", {_POPULAR},
 g AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, any_value(file) AS file, max(CASE strength WHEN 'resolved' THEN 3 WHEN 'import-connected' THEN 2 WHEN 'name-match' THEN 1 ELSE 0 END) AS rank FROM e WHERE id IN (SELECT id FROM pop) GROUP BY ALL)
 SELECT id, count(*) AS callers, count(DISTINCT file) AS files, count(*) FILTER (WHERE rank = 3) AS structural, count(*) FILTER (WHERE rank IN (1, 2)) AS name_match, count(*) FILTER (WHERE rank = 0) AS weak_member FROM g GROUP BY id"""))
 def distinct_callers(spark: SparkSession, d: str) -> DataFrame:
-    s = scoped(spark, d)
-    return graph.count_callers(s.edges(stated_targets(s)))
+    """Distinct callers of every symbol by tier; the SQL has 200 symbols only."""
+    return graph.count_callers(scoped(spark, d).split())
 
 
 @query("caller_tree_capped")

@@ -205,3 +205,35 @@ def test_innermost(spark):
     assert {r.k: r.span_id for r in lookup.innermost(sites, spans, ["k"], nearest=True).collect()} == {1: "in", 2: "out", 3: "far"}
 
 
+def test_edge_reports_cover_all_symbols(spark, monkeypatch):
+    """All symbols, short names and a hot one included, against the edges of every pair; reference ranks with more than 20 and own calls."""
+    from codestrata.plans import call_queries as q
+
+    rnd = random.Random(5)
+    names, dirs = ["resolve", "save", "open", "loadEverything"], ["", "p", "p/a", "p/b", "q"]
+    files = [(f"{x}/f{k}.{e}".lstrip("/"), {"ts": "typescript", "go": "go", "py": "python"}[e]) for x in dirs for k, e in ((0, "ts"), (1, "ts"), (2, "go"), (3, "go"), (4, "py"))]
+    s = [sym(f"s{i:03}", rnd.choice(names), f[0], rnd.choice(["function", "method", "type", "class"]), rnd.random() < 0.6, rnd.choice([None, "C"]), i, f[1]) for i in range(90) for f in [rnd.choice(files)]]
+    b = [bind(f, rnd.choice(["./f0", "./f1", "../f0", "lib", ".f4"]), *rnd.choice([("resolve", None, "value"), ("save", "stow", "value"), ("*", None, "value"), ("*", "ns", "namespace"), ("open", None, "value")]), line=k) for f, _ in files for k in range(rnd.randrange(3))]
+    r = []
+    for i in range(700):
+        own = rnd.choice(s)
+        f = own[4] if rnd.random() < 0.6 else rnd.choice(files)[0]
+        inside = [x for x in s if x[4] == f]
+        hit = rnd.choice(inside)[0] if inside and rnd.random() < 0.1 else None
+        r.append(ref(i, own[0] if f == own[4] else None, hit, rnd.choice(["resolve", "resolve", "save", "stow", "open", own[1]]), f, rnd.randrange(50), rnd.choice([None, "ns", "o", "()"])))
+    r += [ref(1000 + i, s[0][0], None, s[0][1], s[0][4], 0, "o") for i in range(60)]
+    sc = build(spark, s, r, b, files)
+    monkeypatch.setattr(q, "scoped", lambda *_: sc)
+    edges = sc.edges(sc.symbols).cache()
+    caller = F.coalesce("source_id", F.concat(F.lit("m:"), "file"))
+    per = edges.groupBy("id", caller.alias("c")).agg(F.max("file").alias("file"), F.max(graph.strength_rank(F.col("strength"))).alias("k"))
+    want = {
+        q.edge_strength_tiers: edges.groupBy("id", "strength").agg(F.count("*"), F.count_distinct("file")),
+        q.distinct_callers: per.groupBy("id").agg(F.count("*"), F.count_distinct("file"), *[F.count_if(F.expr(x)) for x in ("k = 3", "k in (1, 2)", "k = 0")]),
+        q.caller_groups: graph.group_callers(edges),
+        q.reference_ranks: graph.rank_references(edges, sc.symbols),
+    }
+    assert edges.groupBy("id").count().where("count > 30").count() > 20
+    for query, rows in want.items():
+        assert sorted(map(tuple, query(spark, "").collect())) == sorted(map(tuple, rows.collect())), query.__name__
+    assert {"resolve", "save"} <= {x.name for x in q.distinct_callers(spark, "").join(sc.symbols, "id").collect()}
