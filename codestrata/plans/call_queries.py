@@ -163,15 +163,31 @@ lv AS (SELECT dst, src, 1 AS depth FROM e1 UNION ALL SELECT dst, src, 2 FROM e2
 mn AS (SELECT dst, src, min(depth) AS depth FROM lv GROUP BY ALL)"""
 
 
-@query("blast_radius_depth2", sql(_STRICT + " SELECT dst AS id, count(*) AS callers, count(DISTINCT s.file) AS files, max(depth) AS depths FROM mn JOIN s ON s.id = src GROUP BY dst"))
+_STRICT_BLAST = sql(_STRICT + " SELECT dst AS id, count(*) AS callers, count(DISTINCT s.file) AS files, max(depth) AS depths FROM mn JOIN s ON s.id = src GROUP BY dst")
+_STRICT_HOPS = sql(_STRICT + " SELECT dst AS id, depth, count(*) AS callers FROM mn GROUP BY ALL")
+
+
+@query("blast_radius_depth2", _STRICT_BLAST)
 def blast_radius_depth2(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct transitive callers by name, two hops, of every symbol; the SQL has resolved calls only."""
+    return graph.named_blast_radius(scoped(spark, d).split())
+
+
+@query("impact_by_hop", _STRICT_HOPS)
+def impact_by_hop(spark: SparkSession, d: str) -> DataFrame:
+    """Callers by name of every symbol per hop; the SQL has resolved calls only."""
+    return graph.named_callers_by_hop(scoped(spark, d).split()).groupBy("id", "depth").agg(F.count("*").alias("callers"))
+
+
+@query("blast_radius_resolved", _STRICT_BLAST)
+def blast_radius_resolved(spark: SparkSession, d: str) -> DataFrame:
     """Distinct transitive callers over resolved calls, two hops, of every symbol."""
     e = graph.call_edges(views.refs(spark, d))
     return graph.blast_radius(e, views.symbols(spark, d), 2)
 
 
-@query("impact_by_hop", sql(_STRICT + " SELECT dst AS id, depth, count(*) AS callers FROM mn GROUP BY ALL"))
-def impact_by_hop(spark: SparkSession, d: str) -> DataFrame:
+@query("impact_by_hop_resolved", _STRICT_HOPS)
+def impact_by_hop_resolved(spark: SparkSession, d: str) -> DataFrame:
     return graph.callers_by_hop(graph.call_edges(views.refs(spark, d)), 2).groupBy(F.col("dst").alias("id"), "depth").agg(F.count("*").alias("callers"))
 
 

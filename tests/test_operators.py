@@ -237,3 +237,17 @@ def test_edge_reports_cover_all_symbols(spark, monkeypatch):
     for query, rows in want.items():
         assert sorted(map(tuple, query(spark, "").collect())) == sorted(map(tuple, rows.collect())), query.__name__
     assert {"resolve", "save"} <= {x.name for x in q.distinct_callers(spark, "").join(sc.symbols, "id").collect()}
+
+
+def test_impact_is_by_name(spark, monkeypatch):
+    """Callers in other files and at module level count; weak edges are callers but are not walked."""
+    from codestrata.plans import call_queries as q
+
+    s = [sym("gamma", "gamma", "c.ts"), sym("beta", "beta", "b.ts"), sym("alpha", "alpha", "a.ts"), sym("weak", "weakly", "w.ts"), sym("far", "faraway", "v.ts"), sym("in1", "inner", "c.ts")]
+    r = [ref(1, "beta", None, "gamma", "b.ts"), ref(2, "alpha", None, "beta", "a.ts"), ref(3, None, None, "gamma", "m.ts"), ref(4, "weak", None, "gamma", "w.ts", receiver="o"), ref(5, "far", None, "weakly", "v.ts"), ref(6, "in1", "gamma", "gamma", "c.ts"), ref(7, "gamma", None, "beta", "c.ts")]
+    b = [bind("b.ts", "./c", "gamma"), bind("m.ts", "./c", "gamma"), bind("a.ts", "./b", "beta"), bind("c.ts", "./b", "beta"), bind("v.ts", "./w", "weakly")]
+    sc = build(spark, s, r, b)
+    monkeypatch.setattr(q, "scoped", lambda *_: sc)
+    # gamma: beta, m.ts, weak and in1 call it; over beta also alpha and gamma itself; far only over a weak edge.
+    assert {x.id: (x.callers, x.files, x.depths) for x in q.blast_radius_depth2(spark, "").collect()} == {"gamma": (6, 5, 2), "beta": (6, 5, 2), "weak": (1, 1, 1)}
+    assert {(x.id, x.depth): x.callers for x in q.impact_by_hop(spark, "").collect()} == {("gamma", 1): 4, ("gamma", 2): 2, ("beta", 1): 2, ("beta", 2): 4, ("weak", 1): 1}
