@@ -637,9 +637,48 @@ def _braces(text: str, spec: Spec, language: str) -> dict:
     return {"symbols": symbols, "calls": calls, "imports": imports}
 
 
+_PY_WORDS = re.compile(r"\b(?:if|elif|for|while|except|case|and|or)\b")
+_RUBY_WORDS = re.compile(r"\b(?:if|unless|elsif|while|until|for|when|rescue|and|or)\b|&&|\|\||\?(?=\s)")
+_HASH_NOISE = re.compile(r"\"{3}.*?\"{3}|'{3}.*?'{3}|" + _QUOTES + r"|#[^\n]*", re.S)
+
+
+def body_complexity(code: str, language: str) -> int | None:
+    """Cyclomatic complexity of the lines of one function or method; null where trivial or for other languages."""
+    if language == "python":
+        n = 1 + _python_decisions(code)
+    elif language == "ruby":
+        n = 1 + len(_RUBY_WORDS.findall(_HASH_NOISE.sub(" ", code)))
+    elif language in SPECS:
+        words = [t for t, _, _ in _tokens(code, SPECS[language])[0]]
+        n = 1 + _decisions(words, 0, len(words), SPECS[language])
+    else:
+        return None
+    return min(n, MAX_METRIC) if n > 1 else None
+
+
+def _python_decisions(code: str) -> int:
+    """Branches, loops, handlers, cases, conditions of comprehensions and joined operands; by words where the lines are no function."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse("if 1:\n" + code if code[:1] in (" ", "\t") else code)
+        fn = next(x for x in ast.walk(tree) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)))
+    except (SyntaxError, ValueError, RecursionError, MemoryError, StopIteration):
+        return len(_PY_WORDS.findall(_HASH_NOISE.sub(" ", code)))
+    n = 0
+    for x in (x for b in fn.body for x in ast.walk(b)):
+        n += isinstance(x, (ast.If, ast.IfExp, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler))
+        n += len(x.values) - 1 if isinstance(x, ast.BoolOp) else len(x.ifs) if isinstance(x, ast.comprehension) else 1 + (x.guard is not None) if isinstance(x, ast.match_case) else 0
+    return n
+
+
+def _decisions(words, a, b, spec: Spec) -> int:
+    return sum(1 for i in range(a, b) if words[i] in spec.decisions and not (words[i] == "?" and words[i + 1 : i + 2] in ([":"], [")"], [","], [";"])))
+
+
 def _metrics(words, jump, a, b, spec: Spec, name: str, language: str) -> tuple[int, int]:
     """(cyclomatic, cognitive) of the tokens a..b: decisions, and structures weighed by nesting."""
-    cyc = 1 + sum(1 for i in range(a, b) if words[i] in spec.decisions and not (words[i] == "?" and words[i + 1 : i + 2] in ([":"], [")"], [","], [";"])))
+    cyc = 1 + _decisions(words, a, b, spec)
     cog, ends, bool_op = 0, [], None
     structural = {"if", "switch", "catch", "match", "when", "select", "guard"} | set(spec.loops)
     i = a

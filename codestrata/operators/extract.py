@@ -44,6 +44,23 @@ def outlines(texts: DataFrame) -> DataFrame:
     return texts.where("path is not null and content is not null").select("path", "content").mapInArrow(_run, _KIND)
 
 
+def _complexities(batches):
+    for b in batches:
+        n = [O.body_complexity(c, _language(p)) for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["id", "complexity"])
+
+
+def known_language(path):
+    """Whether a path is of a language whose decisions are known."""
+    end = F.lower(F.regexp_extract(path, "\\.([^./]*)$", 1))
+    return end.isin(*[e for e, lang in LANGUAGES.items() if lang in O.SPECS or lang in ("python", "ruby")])
+
+
+def complexities(bodies: DataFrame) -> DataFrame:
+    """(id, complexity) of function bodies (id, file, code), by the language of the file."""
+    return bodies.select("id", "file", "code").mapInArrow(_complexities, "id string, complexity int")
+
+
 def symbols_of(out: DataFrame) -> DataFrame:
     return out.select(F.col("path").alias("file"), "language", F.explode("symbols").alias("s")).select("s.*", "file", "language")
 

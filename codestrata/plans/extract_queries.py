@@ -41,9 +41,12 @@ bd AS (SELECT s.id, array_to_string(ln[start_line:end_line], chr(10)) AS code FR
 cy AS (SELECT id, least(999, 1 + len(regexp_extract_all(regexp_replace(code, '(?s)/\\*.*?\\*/|//[^\\n]*|"(?:\\\\.|[^"\\\\\\n])*"|''(?:\\\\.|[^''\\\\\\n])*''', ' ', 'g'), '\\b(if|for|while|case|catch)\\b|&&|\\|\\||\\?')))::INT AS n FROM bd)
 SELECT id, CASE WHEN n > 1 THEN n END AS complexity FROM cy"""))
 def cyclomatic_counts(spark: SparkSession, d: str) -> DataFrame:
-    t = load(spark, d, "source_texts").where(F.col("content").isNotNull() & F.col("path").rlike("\\.(java|c)$")).groupBy(F.col("path").alias("file")).agg(F.max("content").alias("content"))
+    """Every function and method of a known language; the SQL has Java and C only."""
+    t = load(spark, d, "source_texts").where(F.col("content").isNotNull() & extract.known_language(F.col("path"))).groupBy(F.col("path").alias("file")).agg(F.max("content").alias("content"))
     s = views.symbols(spark, d).where("kind in ('function', 'method') and start_line >= 1 and end_line >= start_line").select("id", "file", "start_line", "end_line")
-    return s.join(t, "file").select("id", X.cyclomatic(X.code_slice(F.col("content"), F.col("start_line"), F.col("end_line"))).alias("complexity"))
+    code = s.join(t, "file").select("id", "file", X.code_slice(F.col("content"), F.col("start_line"), F.col("end_line")).alias("code"))
+    plain = F.col("file").rlike("\\.(java|c)$")
+    return code.where(plain).select("id", X.cyclomatic(F.col("code")).alias("complexity")).unionByName(extract.complexities(code.where(~plain)))
 
 
 @query("body_slice_lengths", sql("""

@@ -1,6 +1,6 @@
 import pytest
 
-from codestrata.functions.outline import comment_doc_line, outline, symbol_id
+from codestrata.functions.outline import body_complexity, comment_doc_line, outline, symbol_id
 
 CASES = {
     "typescript": ("a.ts", "import { x as y, type T } from './m';\nimport * as ns from 'n';\n/** Saves it. */\nexport function save(a: string): void {\n  if (a && y(a)) { this.go(); ns.run(); } else { save(a); }\n}\nexport class A extends B {\n  private n = 1;\n  m(): number { return a ? 1 : 2; }\n}\ninterface I { z: number }\nenum E { P }\nconst f = (q) => q + 1;\n",
@@ -56,3 +56,18 @@ def test_any_prefix_survives(language):
     for k in range(0, len(text), 7):
         outline(path, text[:k], language)
         outline(path, text[:k] + "}])({" + text[k:], language)
+
+
+def test_body_complexity():
+    """By the rules of each language; comments and strings hold no decisions."""
+    cases = {
+        "python": ("    def f(a):\n        # if a and b\n        for x in [y for y in a if y]:\n            if x and a or '''if\nwhile''':\n                pass\n", 6),
+        "typescript": ("f(a) {\n  // if (a) && b\n  if (a && b ?? c) { return a ? `if (x) ${y}` : 'for' }\n  for (const x of a) {}\n}", 6),
+        "javascript": ("function f(a) { switch (a) { case 1: case 2: default: } try {} catch (e) {} while (a || b) {} }", 6),
+        "go": ("func f(a int) {\n\tfor i := range x { if a > 0 && b { s := `if for` } }\n\tswitch a { case 1: default: }\n}", 5),
+        "ruby": ("def f(a)\n  # if a\n  return 'if' unless a && b\n  x if y\nend", 4),
+        "java": ("int f() { return a ? 1 : 2; }", 2),
+    }
+    assert {k: body_complexity(c, k) for k, (c, _) in cases.items()} == {k: n for k, (_, n) in cases.items()}
+    assert body_complexity("def f():\n    return 1", "python") is None and body_complexity("if", "unknown") is None
+    assert body_complexity("    if a:\n        return", "python") == 2
