@@ -15,6 +15,9 @@ from codestrata.session import cut
 BOOSTS = {"name": 3.0, "signature": 1.5, "doc": 1.0, "fqn": 1.0}
 EXPORTED, K1, B = 1.5, 1.2, 0.75
 
+#: Edits allowed per letter of a word, and the weight of terms that only begin with it or are near it.
+FUZZY, MOST_EDITS, PREFIX_WEIGHT, FUZZY_WEIGHT = 0.2, 6, 0.375, 0.45
+
 #: Names users give to languages.
 LANGUAGE_ALIASES = {
     "ts": ["typescript", "tsx"], "typescript": ["typescript", "tsx"], "tsx": ["tsx"], "js": ["javascript"], "jsx": ["javascript"], "javascript": ["javascript"], "py": ["python"], "python": ["python"],
@@ -33,20 +36,30 @@ def languages_of(name: str) -> list[str]:
 
 def terms(c):
     """Lower-case words of an identifier or text; camel case and snake case split."""
-    apart = F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(F.coalesce(apart, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    apart = F.regexp_replace(F.regexp_replace(c, "([\\p{Ll}\\p{N}])(\\p{Lu})", "$1 $2"), "(\\p{Lu})(\\p{Lu}\\p{Ll})", "$1 $2")
+    return F.filter(F.split(F.lower(F.coalesce(apart, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+
+
+def term_weight(t, word: str, fuzzy: float = FUZZY):
+    """1 for the word itself, less for terms that begin with it or lie within ``fuzzy`` of its length in edits, else 0."""
+    n, reach = F.char_length(t), min(MOST_EDITS, round(fuzzy * len(word)))
+    dist = F.levenshtein(t, F.lit(word))
+    prefix = PREFIX_WEIGHT * n / (n + 0.3 * (n - len(word)))
+    near = F.when((F.abs(n - len(word)) <= reach) & (dist <= reach), FUZZY_WEIGHT * n / (n + dist)).otherwise(0.0)
+    return F.when(t == word, 1.0).when(F.startswith(t, F.lit(word)), prefix).otherwise(near)
 
 
 def bm25(docs: DataFrame, query: list[str], boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """``docs`` with ``score`` added, rows without a hit left out.
 
-    The query is short: term counts are taken from the rows' own token arrays, so one
+    Terms count in full if equal to a word of the query, at a discount if they begin with it
+    or are near it. The query is short: term counts are taken from the rows' own token arrays, so one
     scan gives the collection's figures and another the scores, without a postings shuffle.
     """
     tok = docs.withColumns({f"_t_{f}": terms(F.col(f)) for f in boosts})
 
     def times(field, word):
-        return F.size(F.filter(f"_t_{field}", lambda t: t == word))
+        return F.aggregate(f"_t_{field}", F.lit(0.0), lambda n, t: n + term_weight(t, word))
 
     tf = {(f, q): times(f, q) for f in boosts for q in query}
     stats = tok.agg(
@@ -80,14 +93,15 @@ def search_symbols(symbols: DataFrame, query: list[str], limit: int = 20, langua
     return hit.orderBy(F.desc("score"), "file", "name", "id").limit(limit).withColumn("total", F.lit(total).cast("bigint"))
 
 
-def suggest(symbols: DataFrame, query: str, limit: int = 10, fuzzy: float = 0.2) -> DataFrame:
-    """Names near a query: equal, begun by it, or within ``fuzzy`` of its length in edits; filters come before the limit."""
+def suggest(symbols: DataFrame, query: str, limit: int = 10, fuzzy: float = FUZZY) -> DataFrame:
+    """Symbols near a query: the whole name equal, begun by it, or within ``fuzzy`` of its length in edits; else a term of the name (twice) or fqn; filters come before the limit."""
     q = query.lower()
     reach = max(1, round(fuzzy * len(q)))
     low = F.lower("name")
     dist = F.levenshtein(low, F.lit(q))
-    score = F.when(low == q, 4.0).when(F.startswith(low, F.lit(q)), 2.0 + len(q) / F.char_length("name")).when(dist <= reach, 1.0 - dist / len(q))
-    hit = symbols.where("name is not null").withColumn("score", F.round(score, 6)).where("score is not null")
+    whole = F.when(low == q, 4.0).when(F.startswith(low, F.lit(q)), 2.0 + len(q) / F.char_length("name")).when(dist <= reach, 1.0 - dist / len(q)).otherwise(0.0)
+    best = lambda f: F.coalesce(F.array_max(F.transform(terms(F.col(f)), lambda t: term_weight(t, q, fuzzy))), F.lit(0.0))
+    hit = symbols.where("name is not null").withColumn("score", F.round(F.greatest(whole, 2.0 * best("name"), best("fqn")), 6)).where("score > 0")
     return hit.orderBy(F.desc("score"), "name", "file", "id").limit(limit).select("id", "name", "file", "score")
 
 

@@ -251,3 +251,11 @@ def test_impact_is_by_name(spark, monkeypatch):
     # gamma: beta, m.ts, weak and in1 call it; over beta also alpha and gamma itself; far only over a weak edge.
     assert {x.id: (x.callers, x.files, x.depths) for x in q.blast_radius_depth2(spark, "").collect()} == {"gamma": (6, 5, 2), "beta": (6, 5, 2), "weak": (1, 1, 1)}
     assert {(x.id, x.depth): x.callers for x in q.impact_by_hop(spark, "").collect()} == {("gamma", 1): 4, ("gamma", 2): 2, ("beta", 1): 2, ("beta", 2): 4, ("weak", 1): 1}
+
+
+def test_search_matches_prefix_and_near_terms(spark):
+    s = spark.createDataFrame([sym("eq", "leaseHolder", "a.ts"), sym("pre", "leasesOpen", "b.ts"), sym("near", "leaveNow", "c.ts"), sym("far", "learner", "d.ts"), sym("nl", "größeÄndern", "e.ts"), sym("fq", "other", "resolver/x.ts"), sym("nt", "mustResolve", "f.ts")], SYM)
+    rows = search.search_symbols(s, ["lease"]).collect()
+    assert {r.id for r in rows} == {"eq", "pre", "near"} and rows[0].id == "eq" and rows[0].total == 3
+    assert [r.id for r in search.search_symbols(s, ["größe"]).collect()] == ["nl"]
+    assert [r.id for r in search.suggest(s, "resolv").collect()] == ["nt", "fq"]
