@@ -2,8 +2,8 @@
 
 A grammar is text: ``rule: alternatives`` with ``?``, ``*``, ``+``, groups and ``|``;
 terminals are quoted or in capitals. A line that starts with ``@tag`` belongs to the
-grammar only if the tag is asked for. Conflicting actions are kept, and the recogniser
-splits into several stacks there; equal stacks are one object, so they merge again.
+grammar only if the tag is asked for. Conflicting actions are kept; the recogniser follows
+all of them on one graph of stacks, where stacks with the same top share it.
 """
 
 from __future__ import annotations
@@ -263,95 +263,198 @@ def build_tables(g: Grammar):
 
 
 _ACCEPT = -1 << 30
+_WIDTH = 1 << 12  # above every terminal
+_TRIES = 40
 
 
 class Parser:
-    """Recogniser over the tables. ``semi``: the terminal that may be supplied at a line end (-1: none)."""
+    """Recogniser over the tables. ``semi``: the terminal that may be supplied at a line end (-1: none).
+
+    Stacks share a graph: a node is (state, parent, ...). While one stack is left and its
+    actions are single, it is walked as a list, chains of one-symbol reductions in one
+    look-up. Elsewhere all stacks advance together and tops with the same state become
+    one node with several parents, so work per token is bounded by states and parents.
+    """
 
     def __init__(self, tables, semi: int = -1):
         self.action, self.goto, self.prods = tables
         self.semi = semi
+        self._chains: list[dict] = [{} for _ in self.action]
 
-    def _step(self, heads, kind, made):
-        """Heads after ``kind``; None where it is accepted as the end."""
+    def _chain(self, below, state, kind):
+        """(state, action) after the one-symbol reductions of ``state`` over ``below`` before ``kind``."""
         action, goto, prods = self.action, self.goto, self.prods
-        todo, out, seen = list(heads), {}, set()
+        while True:
+            a = action[state].get(kind)
+            if a is None or type(a) is tuple or a >= 0 or a == _ACCEPT or prods[-a][1] != 1:
+                return state, a
+            state = goto[below][prods[-a][0]]
+
+    def _step(self, heads, kind):
+        """Tops after ``kind``, by state; None where it is accepted as the end."""
+        action, goto, prods = self.action, self.goto, self.prods
+        level = {h[0]: list(h) for h in heads}  # tops have no children yet, so copies are safe
+        todo = [(node, 1) for node in level.values()]
+        shifts, inner = [], False
+        edges = {(node[0], id(p)) for node in level.values() for p in node[1:]}
         while todo:
-            node = todo.pop()
+            node, first = todo.pop()
             acts = action[node[0]].get(kind)
             if acts is None:
                 continue
             for a in acts if type(acts) is tuple else (acts,):
                 if a > 0:
-                    key = (a, id(node))
-                    new = made.get(key)
-                    if new is None:
-                        new = made[key] = (a, node)
-                    out[id(new)] = new
-                elif a == _ACCEPT:
+                    if first == 1:
+                        shifts.append((a, node))
+                    continue
+                if a == _ACCEPT:
                     return None
+                left, n = prods[-a]
+                if n == 0:
+                    bases, inner = [node], True
                 else:
-                    left, n = prods[-a]
-                    base = node
-                    for _ in range(n):
-                        base = base[1]
-                    key = (goto[base[0]][left], id(base))
-                    new = made.get(key)
-                    if new is None:
-                        new = made[key] = (key[0], base)
-                    if id(new) not in seen:
-                        seen.add(id(new))
-                        todo.append(new)
+                    bases = node[first:]
+                    for _ in range(n - 1):
+                        bases = list({id(p): p for b in bases for p in b[1:]}.values())
+                for base in bases:
+                    state = goto[base[0]][left]
+                    if (state, id(base)) in edges:
+                        continue
+                    edges.add((state, id(base)))
+                    known = level.get(state)
+                    if known is None:
+                        level[state] = known = [state, base]
+                        todo.append((known, 1))
+                    else:
+                        known.append(base)
+                        if inner:
+                            todo.extend((x, 1) for x in level.values())
+                        else:
+                            todo.append((known, len(known) - 1))
+        out: dict[int, list] = {}
+        for a, node in shifts:
+            known = out.get(a)
+            if known is None:
+                out[a] = [a, node]
+            elif node not in known[1:]:
+                known.append(node)
+        return list(out.values())
+
+    def _spread(self, heads, kind):
+        """:meth:`_step` for few stacks of one parent each, without the graph's bookkeeping; 0 where that does not do."""
+        goto, prods, chains, chain = self.goto, self.prods, self._chains, self._chain
+        todo, shifts, left_over = list(heads), [], _TRIES
+        while todo:
+            node = todo.pop()
+            while True:
+                left_over -= 1
+                if len(node) != 2 or not left_over:
+                    return 0
+                below = node[1]
+                known, key = chains[below[0]], node[0] * _WIDTH + kind
+                got = known.get(key)
+                if got is None:
+                    got = known[key] = chain(below[0], node[0], kind)
+                state, acts = got
+                if acts is None:
+                    break
+                if state != node[0]:
+                    node = (state, below)
+                after = None
+                for a in acts if type(acts) is tuple else (acts,):
+                    if a > 0:
+                        shifts.append((a, node))
+                    elif a == _ACCEPT:
+                        return None
+                    else:
+                        rule, n = prods[-a]
+                        base = node
+                        while n:
+                            if len(base) != 2:
+                                return 0
+                            base = base[1]
+                            n -= 1
+                        if after is not None:
+                            todo.append(after)
+                        after = (goto[base[0]][rule], base)
+                if after is None:
+                    break
+                node = after
+        if len(shifts) < 2:
+            return shifts
+        out: dict[int, list] = {}
+        for a, node in shifts:
+            known = out.setdefault(a, [a])
+            for i in range(1, len(known)):
+                if known[i][0] == node[0]:
+                    if all(p is not node[1] for p in known[i][1:]):
+                        known[i] = [*known[i], node[1]]
+                    break
+            else:
+                known.append(node)
         return list(out.values())
 
     def first_error(self, kinds, breaks=None, closers=()) -> int:
         """Index of the first token that no parse can take; -1 where all is valid. The end has index len(kinds)."""
-        action, goto, prods = self.action, self.goto, self.prods
-        head, heads, made = (0, None), None, {}
+        goto, prods, chains, chain = self.goto, self.prods, self._chains, self._chain
+        node, heads = (0, (-1,)), None
         n = len(kinds)
         i = 0
         while True:
             kind = kinds[i] if i < n else 0
             if heads is None:
-                node = head
                 while True:
-                    a = action[node[0]].get(kind)
+                    if len(node) != 2:
+                        a = ()
+                        break
+                    below = node[1]
+                    known, key = chains[below[0]], node[0] * _WIDTH + kind
+                    got = known.get(key)
+                    if got is None:
+                        got = known[key] = chain(below[0], node[0], kind)
+                    state, a = got
                     if a is None or type(a) is tuple:
                         break
+                    if state != node[0]:
+                        node = (state, below)
                     if a > 0:
                         node = (a, node)
                         break
                     if a == _ACCEPT:
                         return -1
                     left, k = prods[-a]
-                    while k:
-                        node = node[1]
+                    base = node
+                    while k and len(base) == 2:
+                        base = base[1]
                         k -= 1
-                    node = (goto[node[0]][left], node)
-                else:
-                    a = None
+                    if k:
+                        a = ()
+                        break
+                    node = (goto[base[0]][left], base)
                 if a is not None and type(a) is not tuple:
-                    head = node
                     i += 1
                     continue
-                before = [head]
-                made = {}
-                new = [] if a is None else self._step([node], kind, made)
+                before = [node]
+                new = [] if a is None else self._spread(before, kind) if a else 0
+                if new == 0:
+                    new = self._step(before, kind)
             else:
                 before = heads
-                new = self._step(heads, kind, made)
+                new = self._spread(heads, kind) if len(heads) < 4 else 0
+                if new == 0:
+                    new = self._step(heads, kind)
             if new is None:
                 return -1
             if not new and self.semi >= 0 and (i >= n or breaks[i] or kind in closers):
-                supplied = self._step(before, self.semi, made)
+                supplied = self._step(before, self.semi)
                 if supplied:
-                    new = self._step(supplied, kind, made)
+                    new = self._step(supplied, kind)
                     if new is None:
                         return -1
             if not new:
                 return i
             if len(new) == 1:
-                head, heads = new[0], None
+                node, heads = new[0], None
             else:
                 heads = new
             i += 1

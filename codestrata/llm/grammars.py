@@ -42,12 +42,13 @@ heritage: 'extends' unary
 @ts heritage: 'extends' postfix targs | 'implements' typeref (',' typeref)*
 @ts deco: '@' postfix
 mod: 'static' | 'async'
+mod: 'accessor'
 @ts mod: 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare'
 member: ';' | deco* mod* '*'? ('get' | 'set')? propname opt? func_rest block | deco* mod* propname opt? ann? ('=' assign)? ';' | 'static' block
 @ts member: deco* mod* '*'? ('get' | 'set')? propname opt? func_rest ';' | mod* '[' name ':' type ']' ann ';'
 @ts opt: '?' | '!'
 propname: anyname | STR | NUM | PRIV | '[' assign ']'
-name: NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'from' | 'as'
+name: NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'from' | 'as' | 'accessor'
 @ts name: 'type' | 'interface' | 'namespace' | 'module' | 'declare' | 'abstract' | 'readonly' | 'is' | 'infer' | 'keyof' | 'unique' | 'asserts' | 'satisfies' | 'override' | 'public' | 'private' | 'protected' | 'global' | 'implements' | 'require' | 'out'
 anyname: name | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'export' | 'extends' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'try' | 'typeof' | 'var' | 'let' | 'void' | 'while' | 'with' | 'yield' | 'await' | 'null' | 'true' | 'false' | 'enum'
 import_stmt: 'import' STR attrs? ';' | 'import' import_clause 'from' STR attrs? ';'
@@ -67,21 +68,24 @@ anon_decl: 'async'? 'function' '*'? name? func_rest block | class_decl
 @ts ambient: name ann?
 @ts enum_item: propname ('=' assign)?
 expr: assign (',' assign)*
-assign: chain | arrow | 'yield' '*'? assign | 'yield'
-chain: unary | chain binop unary | chain binop arrow | chain '?' assign ':' assign | unary setop assign
+assign: chain | chain '?' assign ':' assign | place setop assign | arrow | 'yield' '*'? assign | 'yield'
+chain: unary | chain binop unary
 @ts chain: chain ('as' | 'satisfies') type | chain 'as' 'const'
 setop: '=' | OPSET | '>' '>=' | '>' '>' '>='
 binop: OP | '*' | '-' | '+' | '<' | '>' | '>=' | '>' '>' | '>' '>' '>' | '/' | '|' | '&' | 'in' | 'instanceof'
-unary: prefix unary | postfix INCR?
+unary: prefix unary | postfix INCR? | PRIV 'in' unary
 prefix: '+' | '-' | '!' | '~' | INCR | PREINCR | 'typeof' | 'void' | 'delete' | 'await' | 'new'
 @ts prefix: '<' type '>'
-postfix: primary | postfix tail
+postfix: literal | place
+place: primary | postfix tail
+literal: STR | NUM | REGEX | template | 'this' | 'super' | 'null' | 'true' | 'false' | anon_func | class_expr
 tail: '.' (anyname | PRIV) | '?.' (anyname | PRIV | '[' expr ']' | args | template) | '[' expr ']' | args | template
 @ts tail: '!' | targs args | targs template | targs
 args: '(' (arg (',' arg)* ','?)? ')'
 arg: '...'? assign
-primary: nb_primary | object | anon_func | class_expr
-nb_primary: name | STR | NUM | REGEX | template | 'this' | 'super' | 'null' | 'true' | 'false' | PRIV 'in' unary | '(' expr ')' | array | 'import' args | 'import' '.' anyname | 'new' '.' NAME
+primary: nb_primary | object
+nb_primary: name | '(' expr ')' | array | 'import' args | 'import' '.' anyname | 'new' '.' NAME
+nb_literal: STR | NUM | REGEX | template | 'this' | 'super' | 'null' | 'true' | 'false'
 anon_func: 'async'? 'function' '*'? name? func_rest block
 class_expr: deco* 'class' name? tparams? heritage* '{' member* '}'
 array: '[' (','* '...'? assign)? (',' ','* '...'? assign)* ','* ']'
@@ -91,12 +95,13 @@ template: TPL | TPL_HEAD expr (TPL_MID expr)* TPL_TAIL
 arrow: 'async'? name '=>' body | 'async'? tparams? '(' params? ')' retann? '=>' body
 body: block | assign
 estmt: nb_assign (',' assign)*
-nb_assign: nb_chain | arrow | 'yield' '*'? assign | 'yield'
-nb_chain: nb_unary | nb_chain binop unary | nb_chain binop arrow | nb_chain '?' assign ':' assign | nb_unary setop assign | pattern_set
+nb_assign: nb_chain | nb_chain '?' assign ':' assign | nb_place setop assign | pattern_set | arrow | 'yield' '*'? assign | 'yield'
+nb_chain: nb_unary | nb_chain binop unary
 @ts nb_chain: nb_chain ('as' | 'satisfies') type | nb_chain 'as' 'const'
 pattern_set: '(' object setop assign ')'
-nb_unary: prefix unary | nb_postfix INCR?
-nb_postfix: nb_primary | nb_postfix tail
+nb_unary: prefix unary | nb_postfix INCR? | PRIV 'in' unary
+nb_postfix: nb_literal | nb_place
+nb_place: nb_primary | nb_postfix tail
 @ts type: utype | utype 'extends' type '?' type ':' type | functype | 'asserts' (name | 'this') ('is' type)? | (name | 'this') 'is' type
 @ts functype: 'abstract'? 'new'? tparams? '(' params? ')' '=>' type
 @ts utype: ('|' | '&')? optype (('|' | '&') optype)*
@@ -126,7 +131,10 @@ PYTHON = r"""
 file: (NEWLINE | stmt)*
 stmt: simple (';' simple)* ';'? NEWLINE | compound
 block: simple (';' simple)* ';'? NEWLINE | NEWLINE INDENT stmt+ DEDENT
-simple: exprs | exprs setop (exprs | yield) | exprs ('=' (exprs | yield))+ | exprs ':' expr ('=' (exprs | yield))? | yield
+simple: exprs | place setop (exprs | yield) | (places '=')+ (exprs | yield) | (place | '(' place ')') ':' expr ('=' (exprs | yield))? | yield
+places: splace (',' splace)* ','?
+splace: '*'? place | '*'? '(' places? ')' | '*'? '[' places? ']'
+place: name | postfix '.' name | postfix '[' subs ']'
 simple: 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' (expr ('from' expr)?)? | 'del' exprs | 'global' name (',' name)* | 'nonlocal' name (',' name)* | 'assert' expr (',' expr)?
 simple: 'import' dotted_as (',' dotted_as)* | 'from' dots? dotted? 'import' ('*' | '(' name_as (',' name_as)* ','? ')' | name_as (',' name_as)*) | 'type' name tparams? '=' expr
 dots: ('.' | '...')+
@@ -152,10 +160,17 @@ mpat: closed ':' pattern | '**' name
 deco: '@' named NEWLINE
 tparams: '[' tparam (',' tparam)* ','? ']'
 tparam: ('*' | '**')? name (':' expr)? ('=' expr)?
-params: param (',' param)* ','?
-param: name (':' expr)? ('=' expr)? | '*' (name (':' star)?)? | '**' name (':' expr)? | '/'
-lparams: lparam (',' lparam)* ','?
-lparam: name ('=' expr)? | '*' name? | '**' name | '/'
+params: plain | given | rest
+plain: typed ','? | typed ',' (plain | given | rest) | typed ',' '/' ','? | typed ',' '/' ',' (plain | given | rest)
+given: typed '=' expr ','? | typed '=' expr ',' (given | rest) | typed '=' expr ',' '/' ','? | typed '=' expr ',' '/' ',' (given | rest)
+rest: '*' name (':' star)? (',' keyed)* (',' keys)? ','? | '*' (',' keyed)+ (',' keys)? ','? | keys ','?
+keyed: typed ('=' expr)?
+keys: '**' typed
+typed: name (':' expr)?
+lparams: lplain | lgiven | lrest
+lplain: name ','? | name ',' (lplain | lgiven | lrest) | name ',' '/' ','? | name ',' '/' ',' (lplain | lgiven | lrest)
+lgiven: name '=' expr ','? | name '=' expr ',' (lgiven | lrest) | name '=' expr ',' '/' ','? | name '=' expr ',' '/' ',' (lgiven | lrest)
+lrest: '*' name (',' name ('=' expr)?)* (',' '**' name)? ','? | '*' (',' name ('=' expr)?)+ (',' '**' name)? ','? | '**' name ','?
 exprs: star (',' star)* ','?
 star: '*' chain | named
 named: expr | name ':=' expr
@@ -232,7 +247,7 @@ sexpr: INCR unary | postfix INCR | postfix setop expr | call
 call: name args | postfix '.' targs? name args | 'this' args | 'super' args | creation | postfix '.' targs? ('super' | 'this') args | postfix '.' creation
 setop: '=' | OPSET | '>' '>=' | '>' '>' '>='
 expr: chain | lambda | chain '?' expr ':' expr | postfix setop expr
-chain: unary | chain binop unary | chain 'instanceof' ('final'? type | pattern) | chain binop lambda
+chain: unary | chain binop unary | chain 'instanceof' ('final'? type | pattern)
 binop: OP | '*' | '-' | '+' | '<' | '>' | '>=' | '>' '>' | '>' '>' '>' | '|' | '&'
 lambda: name '->' lbody | '(' (name (',' name)*)? ')' '->' lbody | '(' params ')' '->' lbody
 lbody: expr | block

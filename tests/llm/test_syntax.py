@@ -1,5 +1,6 @@
 import ast
 import random
+import time
 
 import pytest
 
@@ -70,3 +71,53 @@ def test_query(spark):
     got = {(r.path, r.line) for r in S.parse_files(df).collect()}
     assert got == {("r/a.py", None), ("r/b.py", 1), ("r/e.js", None), ("r/f.ts", 1)}
     assert S.parse_files(df.limit(0)).count() == 0
+
+
+def test_work_grows_with_depth_only():
+    lang = S.language("c", S.tables())
+    for shape in ("int f(void){return %s1%s;}" % ("(a)(" * 200, ")" * 200), "int f(void){return %s1;}" % ("(a)" * 200), "int f(void){return %s1%s;}" % ("f(a)(" * 200, ")" * 200)):
+        began = time.process_time()
+        assert lang.first_error(shape) is None
+        assert time.process_time() - began < 1
+    took = []
+    for depth in (500, 2000):
+        began = time.process_time()
+        assert lang.first_error("int f(void){return %s1%s;}" % ("(a)(" * depth, ")" * depth)) is None
+        assert lang.first_error("int f(void){return %s1%s;}" % ("(a)(" * depth, ")" * (depth - 1))) is not None
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.1
+
+
+@pytest.mark.parametrize(
+    "text, line",
+    [
+        ("#if A\nint x;\n#else\nint x = ;\n#endif\n", 4),
+        ("#if A\nint x;\n#elif B\nint y;\n#else\nint f( {\n#endif\nint z;\n", 6),
+        ("#ifdef A\n#ifdef B\nint a;\n#else\nint b = ;\n#endif\nint c;\n#else\nint d;\n#endif\n", 5),
+        ("#ifndef H\nint a;\n", 1), ("int a;\n#endif\n", 2), ("int a;\n#else\n", 2),
+        ("#if 0\nthis is ( not code\n#endif\nint a;\n", None), ("#if 1\nint a;\n#else\nnot code (\n#endif\n", None), ("#if A\nint f(\n#else\nint g(\n#endif\nvoid);\n", None),
+    ],
+)
+def test_every_branch_of_c(text, line):
+    got = S.language("c", S.tables()).first_error(text)
+    assert (got and got[0]) == line
+
+
+def test_targets_and_parameters():
+    py, js, ts = (S.language(n, S.tables()) for n in ("python", "javascript", "typescript"))
+    for t in ("1 = 2\n", "a = b = 1 = c\n", "f() = 1\n", "a + b = c\n", "def f(a, a=1, b): pass\n", "def f(*): pass\n", "lambda a=1, b: 0\n", 'f"{a b}"\n', 'f"{}"\n', 'f"{a"\n', "x: int: 3\n", "(a, b) += 1\n"):
+        assert py.first_error(t), t
+    for t in ("a, (b, *c), [d] = e.f[1] = g\n", "def f(a, /, b, *, c=1, d, **k): pass\n", "def f(a=1, /, b=2, *c): pass\n", "lambda a, b=1, *c, d: 0\n", 'f"{a!r:>{w}} {{x}} {b=} {c:%Y-%m}"\n', "a.b += 1\n(x): int = 3\n", "x[1:2]: int\n", "rf'{a}\\d{{2}}'\n", "f'{d[\"a\"]}'\n"):
+        assert py.first_error(t) is None, t
+    for t in ("1 = 2;", "-a = 1;", "a++ = 1;", "'x' = y", "a || b => c"):
+        assert js.first_error(t), t
+    for t in ("[a, b] = c; ({a} = b); a.b = c[d] = 1; (a) = 2", "#x in y && z; class A { accessor b = 1 }", "let accessor = 1"):
+        assert js.first_error(t) is None and ts.first_error(t) is None, t
+    assert ts.first_error("class A { private accessor b: number = 1; static accessor c = 2 }") is None
+    assert [t for t in ("let x = a ? b : c + d as T;", "a = b ? (c) : d => e;") if ts.first_error(t)] == []
+
+
+def test_places():
+    assert S.language("go", S.tables()).first_error("package a\n// c\nvar x = )\n") == (3, ")")
+    assert S.language("java", S.tables()).first_error("/* a\n */ class A {\n int x }") == (3, "}")
+    assert S.language("python", S.tables()).first_error("# c\nx = 1\n  y = 2\n")[0] == 3
