@@ -1,13 +1,15 @@
 """Problem 2: functions paired with their documentation.
 
 For every file the comments of its text and the descriptions the index holds are the
-candidates. A candidate is scored against the functions near it: parameter tags that name
-the function's parameters, words of its name, distance in lines, and agreement with the
-indexed description. Links without evidence, or whose tags name other parameters only,
-are rejected; the rest is solved as a maximum-weight bipartite assignment, so each comment
-documents one function. Pairs whose description says nothing are dropped.
+candidates of one matching. A candidate is scored against the functions near it: parameter
+tags that name the function's parameters, words of its name, distance in lines, and, for an
+indexed description, the index's own word, which counts less where its tags name other
+parameters only and more where the text has it next to the function. Links below
+``PLAUSIBLE`` are rejected; the rest is solved as a maximum-weight bipartite assignment, so
+each candidate documents one function. Pairs whose description says nothing are dropped.
 
-Files are cut into blocks of ``BLOCK_LINES`` lines, so a huge file is many tasks' work.
+A file is matched whole. Functions of a file without a text cannot share a comment, so such
+files, and only they, are split by a hash where they hold more than ``HOT_FILE`` functions.
 
 Defined results: of repeated ids the least row counts; a null id is dropped; kinds compare
 without case and outer white space; functions of files without text are judged by their
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from codestrata.llm.registry import query
 from codestrata.session import load
 
-BLOCK_LINES, HOT_BLOCK, OWN_WEIGHT = 2000, 20_000, 3.5
+HOT_FILE = 20_000
+INDEXED, MISFIT, AGREED, PLAUSIBLE = 3.5, 3.0, 3.0, 1.5
 
 # ---------------------------------------------------------------- does a description say anything
 
@@ -267,15 +270,44 @@ def _hungarian(cost: np.ndarray) -> list[int]:
     return out
 
 
+def tag_fit(tags: set[str], params: set[str]) -> float:
+    """Share of the tags that name parameters; -1 where there are tags and none does."""
+    if not tags:
+        return 0.0
+    return len(tags & params) / len(tags) or -1.0
+
+
 def link_file(path: str | None, text: str | None, funcs: list[dict]) -> list[tuple]:
-    """(index of function, description, origin, score) of the accepted links of a block of a file."""
+    """(index of function, description, origin, score) of the accepted links of a file.
+
+    Candidates are the indexed descriptions and the comments of the text, in one matching. A comment
+    that repeats the indexed description of a function next to it is the same candidate. ``origin``:
+    'index' for a function's own indexed description, 'moved' for that of another, 'text' for a comment.
+    """
     python = bool(path) and path.endswith(".py")
+    own = [known_stems(f["name"]) for f in funcs]
+    params = [signature_params(f["signature"]) for f in funcs]
+    keys = [match_key(f["doc"]) if f["doc"] else "" for f in funcs]
     cands: list[str] = []
     weight: dict[tuple[int, int], float] = {}
-    keys = [match_key(f["doc"]) if f["doc"] else "" for f in funcs]
-    by_doc: dict[int, int] = {}
+    indexed: dict[int, int] = {}  # candidate -> function whose index row holds it
+    order = sorted((i for i, f in enumerate(funcs) if f["start_line"] is not None), key=lambda i: funcs[i]["start_line"])
+    place = {i: at for at, i in enumerate(order)}
+    for i, f in enumerate(funcs):
+        if not f["doc"]:
+            continue
+        tags, j = set(_TAG_NAMES.findall(f["doc"])), len(cands)
+        fit = tag_fit(tags, params[i])
+        words = known_stems(f["doc"])
+        weight[i, j] = INDEXED + 0.5 * len(own[i] & words) / max(1, len(own[i])) + (fit if fit >= 0 else -MISFIT)
+        if fit < 0 and text and i in place:  # it may belong to a neighbour without one
+            for k in order[max(0, place[i] - 1) : place[i] + 2]:
+                if k != i and not funcs[k]["doc"] and tag_fit(tags, params[k]) > 0:
+                    weight[k, j] = PLAUSIBLE + 0.5 + tag_fit(tags, params[k])
+        indexed[j] = i
+        cands.append(f["doc"])
+    of = {i: j for j, i in indexed.items()}
     if text:
-        order = sorted((i for i, f in enumerate(funcs) if f["start_line"] is not None), key=lambda i: funcs[i]["start_line"])
         starts = [funcs[i]["start_line"] for i in order]
         for first, last, raw in comments_of(text, python):
             doc_string = raw[0] in "\"'"
@@ -283,44 +315,35 @@ def link_file(path: str | None, text: str | None, funcs: list[dict]) -> list[tup
             near = order[bisect_left(starts, lo) : bisect_right(starts, hi)]
             if not near:
                 continue
-            j, key, tags, names = len(cands), None, None, None
+            tags, names, edges, same = set(_TAG_NAMES.findall(raw)), None, {}, None
+            key = match_key(raw) if any(keys[i] for i in near) else ""
             for i in near:
-                f = funcs[i]
-                gap = first - f["start_line"] - 1 if doc_string else f["start_line"] - last - 1
+                gap = first - funcs[i]["start_line"] - 1 if doc_string else funcs[i]["start_line"] - last - 1
                 score = 1.0 / (1 + gap) if gap >= 0 else 0.3 / (1 - gap)
-                if keys[i]:
-                    key = match_key(raw) if key is None else key
-                    if key and (key == keys[i] or key.startswith(keys[i])):
-                        score += 3
+                if key and keys[i] and key.startswith(keys[i]) and (same is None or score > same[0]):
+                    same = score, i
                 if gap > 0 or score < 1:
-                    if names is None:
-                        names = known_stems(raw)
-                    own = known_stems(f["name"])
-                    score += 0.5 * len(own & names) / max(1, len(own))
-                if tags is None:
-                    tags = set(_TAG_NAMES.findall(raw))
-                if tags:
-                    fit = len(tags & signature_params(f["signature"]))
-                    score = score + fit / len(tags) if fit else score - 0.6
+                    names = known_stems(raw) if names is None else names
+                    score += 0.5 * len(own[i] & names) / max(1, len(own[i]))
+                fit = tag_fit(tags, params[i])
+                edges[i] = score + fit if fit >= 0 else score - 0.6
+            if same:
+                j = of[same[1]]
+                weight[same[1], j] += AGREED * same[0]
+                edges.pop(same[1])
+            else:
+                j = len(cands)
+                cands.append(raw)
+            for i, score in edges.items():
                 if score >= 0.5:
-                    weight[i, j] = score
-                    if score >= 3:
-                        by_doc[i] = j
-            cands.append(raw)
-    # An indexed description that no comment repeats is a candidate of its function alone, and
-    # outweighs every comment that differs from it (at most 2.5): such functions are matched.
-    own = {i: OWN_WEIGHT for i, f in enumerate(funcs) if f["doc"] and i not in by_doc}
-    rest = {(i, j): w for (i, j), w in weight.items() if i not in own}
-    matched: dict[int, int | None] = dict.fromkeys(own) | max_assignment(rest)
-    # a comment documents one function only; others to which the index gives the same text keep it
-    matched |= {i: None for i, j in by_doc.items() if matched.get(i) != j}
+                    weight[i, j] = max(score, weight.get((i, j), 0.0))
+    weight = {(i, j): w for (i, j), w in weight.items() if w >= (PLAUSIBLE if j in indexed and indexed[j] == i else 0.5)}
     out = []
-    for i, j in sorted(matched.items()):
+    for i, j in sorted(max_assignment(weight).items()):
         f = funcs[i]
-        indexed = j is None or by_doc.get(i) == j
-        doc = f["doc"] if indexed else cands[j]
-        if says_something(doc, f["name"], (f["fqn"] or "").rsplit(":", 1)[-1].rsplit(".", 1)[-1]):
-            out.append((i, "\n".join(clean_lines(doc)), "index" if indexed else "text", OWN_WEIGHT if j is None else weight[i, j]))
+        origin = "text" if j not in indexed else "index" if indexed[j] == i else "moved"
+        if says_something(cands[j], f["name"], (f["fqn"] or "").rsplit(":", 1)[-1].rsplit(".", 1)[-1]):
+            out.append((i, "\n".join(clean_lines(cands[j])), origin, weight[i, j]))
     return out
 
 
@@ -351,13 +374,13 @@ def doc_pairs(symbols: DataFrame, texts: DataFrame, with_code: bool = True) -> D
     cols = ["file", "name", "fqn", "start_line", "end_line", "signature", "doc"]
     f = symbols.withColumn("kind", kind).where(F.col("kind").isin("function", "method") & F.col("id").isNotNull()).select("id", "kind", *cols)
     f = f.groupBy("id").agg(F.min(F.struct("kind", *cols)).alias("s")).select("id", "s.*")
-    f = f.withColumn("block", F.floor(F.coalesce(F.col("start_line"), F.lit(0)) / BLOCK_LINES))
-    hot = f.groupBy("file", "block").agg(F.count("*").alias("c")).where(F.col("c") > HOT_BLOCK)
-    hot = hot.select(F.col("file").alias("hf"), F.col("block").alias("hb"), F.ceil(F.col("c") / HOT_BLOCK).alias("parts"))
-    f = f.join(hot, F.col("file").eqNullSafe(F.col("hf")) & (F.col("block") == F.col("hb")), "left")
-    f = f.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)))
-    grouped = f.groupBy("file", "block", "salt").agg(F.sort_array(F.collect_list(F.struct("id", "kind", *cols[1:]))).alias("funcs"))
     text = texts.where("path is not null").groupBy("path").agg(F.max("content").alias("content"))
+    hot = f.groupBy("file").agg(F.count("*").alias("c")).where(F.col("c") > HOT_FILE)
+    hot = hot.join(texts.select(F.col("path").alias("file")), "file", "left_anti")
+    hot = hot.select(F.col("file").alias("hf"), F.ceil(F.col("c") / HOT_FILE).alias("parts"))
+    f = f.join(hot, F.col("file").eqNullSafe(F.col("hf")), "left")
+    f = f.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)))
+    grouped = f.groupBy("file", "salt").agg(F.sort_array(F.collect_list(F.struct("id", "kind", *cols[1:]))).alias("funcs"))
     return grouped.join(text, F.col("file") == F.col("path"), "left").select("file", "content", "funcs").mapInArrow(_pair_batches(with_code), _PAIRS)
 
 

@@ -58,6 +58,34 @@ def test_pairs(spark):
     assert D.doc_pairs(s.limit(0), t.limit(0)).count() == 0
 
 
+def _funcs(*rows):
+    return [{"id": str(k), "name": n, "fqn": None, "start_line": line, "end_line": line, "signature": sig, "doc": doc} for k, (n, line, sig, doc) in enumerate(rows)]
+
+
+def test_indexed_descriptions_go_through_the_matching():
+    stale = "Waits for the lock to be free.\n@param timeout how long at most"
+    text = "// Waits for the lock to be free.\n// @param timeout how long at most\nfunction lock(q) {}\n\nfunction late(timeout) {}\n"
+    rows = _funcs(("lock", 3, "lock(q)", stale), ("late", 5, "late(timeout)", "TODO"))
+    origins = lambda t, fs: {(i, o) for i, _, o, _ in D.link_file("a.js", t, fs)}
+    assert origins(text, rows) == {(0, "index")}  # the text has it right above: accepted though its tags are stale
+    assert origins(None, rows) == set()  # without the text nothing speaks for it: implausible
+    other = text.replace("function lock(q) {}", "function other(timeout) {}\n" + "\n" * 20 + "function lock(q) {}")
+    assert (0, "index") not in origins(other, _funcs(("lock", 24, "lock(q)", stale), ("other", 3, "other(timeout)", None)))
+    # a description whose tags fit the neighbour only goes to the neighbour
+    moved = _funcs(("lock", 3, "lock(q)", stale), ("late", 5, "late(timeout)", None))
+    assert origins("function lock(q) {}\nfunction late(timeout) {}\n", moved) == {(1, "moved")}
+    # tags that fit, or none, need no text
+    assert origins(None, _funcs(("lock", 3, "lock(timeout)", stale), ("b", 9, None, "Drops rows without a key."))) == {(0, "index"), (1, "index")}
+
+
+def test_long_file_has_no_edges():
+    """A comment is given once wherever it stands in a long file."""
+    text = "\n".join(f"// Waits for lock {i} to be free.\nfunction f{i}() {{}}\nfunction g{i}() {{}}" for i in range(3000))
+    fs = _funcs(*[(f"{c}{i}", 3 * i + 2 + (c == "g"), "f()", None) for i in range(3000) for c in "fg"])
+    out = D.link_file("a.js", text, fs)
+    assert len(out) == 3000 and len({d for _, d, _, _ in out}) == 3000
+
+
 HAND = "import x from './x';\n// Generated rows are ignored here, only hand-made ones count.\nfunction load(a) {\n  let b = open(a + 1);\n  if (b > 3) {\n    return b;\n  }\n  return close(b, 'DO NOT EDIT');\n}\n"
 
 
