@@ -7,10 +7,12 @@ mean. No score can dominate through its range, and outliers saturate.
 All statistics are exact and computed on *cells*, the distinct score combinations with
 their row counts, so one map-side combined pass sees the rows.
 
-Defined results: a null score takes no part in its row's mean (the weights of the others
-are rescaled); a row without any score gets a null fused value and a null rank; where the
+Defined results: a null score counts as the median (0.5 after squashing), so it neither lifts
+nor sinks a row; a row without any score gets a null fused value and a null rank; where the
 MAD is 0, 1.2533 times the mean absolute deviation stands in, and where that is 0 as well,
-z is 0. NaN counts as null. Ties share a rank, as in SQL's RANK.
+z is 0. NaN counts as null. The rank is taken from the logarithm of the mean, to ten places,
+before ``fused`` is rounded for display; rows that saturate to the same value there are
+ordered by the weighted sum of z. Ties share a rank, as in SQL's RANK.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from codestrata.llm.registry import query
 from codestrata.session import cut, load
 
 
+FEW_CELLS, HOT_CELL = 500_000, 1_000_000  # a cell is about 50 bytes
+
+
 def exact_median(cells: DataFrame, value, weight: str = "n", limit: int = 100_000) -> float | None:
     """The exact interpolated median of ``value`` with row counts ``weight``.
 
@@ -80,24 +85,25 @@ def robust_stats(cells: DataFrame, column: str) -> tuple[float, float]:
     return med, 1.2533 * (mean or 0.0)
 
 
-def global_rank(cells: DataFrame, score: str, weight: str = "n", buckets: int = 200) -> DataFrame:
-    """(score, rank): 1 + the number of rows with a higher score, without one global sort.
+def global_rank(cells: DataFrame, keys: list[str], weight: str = "n", buckets: int = 200) -> DataFrame:
+    """``cells`` with ``rank``: 1 + the number of rows with greater ``keys`` (compared in turn), without one global sort.
 
-    Distinct scores fall into quantile buckets; bucket totals (at most ``buckets`` + 1
-    numbers) give the offsets, and a window ranks inside each bucket.
+    Values of the first key fall into quantile buckets; bucket totals (at most ``buckets`` + 1
+    numbers) give the offsets, and windows rank inside each bucket. Cells with a null first key get none.
     """
-    s = cells.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(weight).alias("w"))
-    cuts = s.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
+    first = F.col(keys[0])
+    cuts = cells.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
     bounds = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    s = cut(s.withColumn("bucket", F.size(F.filter(bounds, lambda b: b <= F.col(score)))))
-    sums = sorted(((r[0], r[1]) for r in s.groupBy("bucket").agg(F.sum("w")).collect()), reverse=True)
+    s = cut(cells.withColumn("__bucket", F.when(first.isNotNull(), F.size(F.filter(bounds, lambda b: b <= first)))))
+    sums = sorted(((r[0], r[1]) for r in s.where(first.isNotNull()).groupBy("__bucket").agg(F.sum(weight)).collect()), reverse=True)
     offset, pairs = 0, []
     for b, n in sums:
         pairs += [F.lit(b), F.lit(offset)]
         offset += n
-    start = F.element_at(F.create_map(*pairs), F.col("bucket")) if pairs else F.lit(0)
-    before = F.coalesce(F.sum("w").over(W.partitionBy("bucket").orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return s.select(score, (start + before + 1).cast("bigint").alias("rank"))
+    start = F.element_at(F.create_map(*pairs), F.col("__bucket")) if pairs else F.lit(0)
+    up_to = F.sum(weight).over(W.partitionBy("__bucket").orderBy(*[F.col(k).desc() for k in keys]).rangeBetween(W.unboundedPreceding, W.currentRow))
+    peers = F.sum(weight).over(W.partitionBy("__bucket", *keys))
+    return s.withColumn("rank", F.when(first.isNotNull(), (start + up_to - peers + 1).cast("bigint"))).drop("__bucket")
 
 
 def fuse(df: DataFrame, scores: dict[str, float], round_to: int = 6) -> DataFrame:
@@ -108,23 +114,32 @@ def fuse(df: DataFrame, scores: dict[str, float], round_to: int = 6) -> DataFram
         plain = plain.withColumn(c, F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c)))
     inner = {c: f"__score_{i}" for i, c in enumerate(names)}
     cells = cut(plain.groupBy(*[F.col(c).alias(a) for c, a in inner.items()]).agg(F.count("*").alias("n")))
-    logs, weights = [], []
+    logs, raws = F.lit(0.0), F.lit(0.0)
     for c, a in inner.items():
         med, scale = robust_stats(cells, a)
-        z = (F.col(a) - F.lit(med)) / F.lit(scale) if scale else F.lit(0.0)
-        there = F.col(a).isNotNull()
-        logs.append(F.when(there, F.lit(float(scores[c])) * -F.log(1 + F.exp(F.least(F.lit(700.0), -z)))).otherwise(0.0))
-        weights.append(F.when(there, F.lit(float(scores[c]))).otherwise(0.0))
-    w = sum(weights[1:], weights[0])
-    fused = F.round(F.when(w > 0, F.exp(sum(logs[1:], logs[0]) / w)), round_to)
-    scored = cells.withColumn("fused", fused)
-    ranks = global_rank(scored, "fused").withColumnRenamed("fused", "rf")
-    table = scored.join(ranks, F.col("fused") == F.col("rf"), "left").select(*inner.values(), "fused", "rank")
-    same = None
-    for c, a in inner.items():
-        e = plain[c].eqNullSafe(F.col(a))
-        same = e if same is None else same & e
-    return plain.join(table, same, "left").drop(*inner.values())
+        z = F.coalesce((F.col(a) - F.lit(med)) / F.lit(scale), F.lit(0.0)) if scale else F.lit(0.0)  # unknown: as the median
+        logs = logs - F.lit(float(scores[c])) * F.log1p(F.exp(F.least(F.lit(700.0), -z)))
+        raws = raws + F.lit(float(scores[c])) * z
+    known = F.coalesce(*[F.col(a).cast("double") for a in inner.values()]).isNotNull()
+    total = float(sum(scores.values()))
+    cells = cells.withColumn("__log", F.when(known, F.round(logs, 10))).withColumn("__raw", F.round(raws, 6))
+    table = global_rank(cells, ["__log", "__raw"]).withColumn("fused", F.round(F.exp(F.col("__log") / total), round_to))
+    return _spread_back(plain, table.select(*inner.values(), "n", "fused", "rank"), inner)
+
+
+def _spread_back(plain: DataFrame, table: DataFrame, inner: dict[str, str]) -> DataFrame:
+    """The columns of each cell beside its rows. Few cells go to every task; else a cell of many rows is split."""
+    n, hot = F.col("n"), F.col("n") > HOT_CELL
+    if table.count() <= FEW_CELLS:
+        on = [plain[c].eqNullSafe(F.col(a)) for c, a in inner.items()]
+        return plain.join(F.broadcast(table), on, "left").drop("n", *inner.values())
+    # at most rows / HOT_CELL cells are hot
+    parts = table.where(hot).select(*[F.col(a).alias(f"{a}h") for a in inner.values()], F.ceil(n / HOT_CELL).alias("__parts"))
+    salted = plain.join(F.broadcast(parts), [plain[c].eqNullSafe(F.col(f"{a}h")) for c, a in inner.items()], "left")
+    salted = salted.withColumn("__salt", F.floor(F.rand(7) * F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts", *[f"{a}h" for a in inner.values()])
+    table = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(hot, F.ceil(n / HOT_CELL)).otherwise(1).cast("int") - 1)))
+    on = [salted[c].eqNullSafe(F.col(a)) for c, a in inner.items()] + [F.col("__salt") == F.col("__part")]
+    return salted.join(table, on, "left").drop("n", "__salt", "__part", *inner.values())
 
 
 def callable_scores(symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -152,9 +167,9 @@ m AS (SELECT median(complexity) AS mc, median(commit_frequency) AS mf FROM b),
 d AS (SELECT median(abs(complexity - mc)) AS dc, avg(abs(complexity - mc)) AS ac, median(abs(commit_frequency - mf)) AS df, avg(abs(commit_frequency - mf)) AS af FROM b, m),
 z AS (SELECT b.*, (complexity - mc) / (CASE WHEN dc > 0 THEN 1.4826 * dc ELSE 1.2533 * ac END) AS zc,
   (commit_frequency - mf) / (CASE WHEN df > 0 THEN 1.4826 * df ELSE 1.2533 * af END) AS zf FROM b, m, d),
-r AS (SELECT id, name, file, complexity, commit_frequency, round(exp((-ln(1 + exp(least(700.0, -zc))) + CASE WHEN zf IS NULL THEN 0 ELSE -ln(1 + exp(least(700.0, -zf))) END)
-  / (CASE WHEN zf IS NULL THEN 1 ELSE 2 END)), 6) AS fused FROM z)
-SELECT *, rank() OVER (ORDER BY fused DESC) AS rank FROM r"""
+r AS (SELECT id, name, file, complexity, commit_frequency,
+  round(-ln(1 + exp(least(700.0, -zc))) - ln(1 + exp(least(700.0, -coalesce(zf, 0)))), 10) AS l, round(zc + coalesce(zf, 0), 6) AS w FROM z)
+SELECT id, name, file, complexity, commit_frequency, round(exp(l / 2), 6) AS fused, rank() OVER (ORDER BY l DESC, w DESC) AS rank FROM r"""
 
 
 @query("p1_ranking", _RANK_SQL)

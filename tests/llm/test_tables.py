@@ -39,19 +39,45 @@ def test_fuse(spark):
     col = lambda k: [x[k] for x in rows if x[k] is not None and x[k] == x[k]]
     (ma, sa), (mb, sb) = stats(col(1)), stats(col(2))
     sq = lambda x, m, s: 1 / (1 + math.exp(min(700.0, -(x - m) / s)))
-    want = {}
+    want, key = {}, {}
     for i, a, b, _ in rows:
-        parts = ([(1.0, sq(a, ma, sa))] if a is not None else []) + ([(2.0, sq(b, mb, sb))] if b is not None and b == b else [])
-        want[i] = math.exp(sum(w * math.log(max(s, 1e-320)) for w, s in parts) / sum(w for w, _ in parts)) if parts else None
+        there = [a is not None, b is not None and b == b]
+        z = [(a - ma) / sa if there[0] else 0.0, (b - mb) / sb if there[1] else 0.0]
+        log = sum(w * -math.log1p(math.exp(min(700.0, -x))) for w, x in zip((1.0, 2.0), z))
+        want[i] = math.exp(log / 3) if any(there) else None
+        key[i] = (round(log, 10), round(z[0] + 2 * z[1], 6)) if any(there) else None
     for i, w in want.items():
         assert (got[i].fused is None) == (w is None) and (w is None or abs(got[i].fused - w) < 2e-6)
-    order = sorted((x.fused for x in got.values() if x.fused is not None), reverse=True)
-    assert all(x.rank == order.index(x.fused) + 1 for x in got.values() if x.fused is not None) and got[900].rank is None
+    assert all(x.rank == 1 + sum(k is not None and k > key[x.id] for k in key.values()) for x in got.values() if key[x.id]) and got[900].rank is None
     same = spark.createDataFrame([(1, 3), (2, 3)], "id int, a int")
     assert [x.fused for x in U.fuse(same, {"a": 1.0}).collect()] == [0.5, 0.5]
     assert U.fuse(df.limit(0), {"a": 1.0, "b": 1.0}).count() == 0
 
 
+def test_missing_score_is_no_bonus(spark):
+    """A row without a score never outranks one that is higher in the shared score and above the median in the other."""
+    r = random.Random(6)
+    rows = [(i, r.choice([1, 2, 3, 5, 147, 991]), r.choice([None, 1, 2, 10, 5000])) for i in range(300)]
+    got = {x.id: x for x in U.fuse(spark.createDataFrame(rows, "id int, a int, b int"), {"a": 1.0, "b": 1.0}).collect()}
+    mid = statistics.median(b for _, _, b in rows if b is not None)
+    for x in got.values():
+        for y in got.values():
+            if x.b is None and y.b is not None and y.a > x.a and y.b > mid:
+                assert y.rank < x.rank
+            if x.b == y.b and y.a > x.a:
+                assert y.rank < x.rank  # saturated scores keep their order
+
+
+def test_many_cells(spark, monkeypatch):
+    rows = [(i, i % 7 if i % 3 else 2, i % 5 if i % 4 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a int, b int")
+    few = {x.id: (x.fused, x.rank) for x in U.fuse(df, {"a": 1.0, "b": 1.0}).collect()}
+    monkeypatch.setattr(U, "FEW_CELLS", 1)
+    monkeypatch.setattr(U, "HOT_CELL", 5)
+    many = U.fuse(df, {"a": 1.0, "b": 1.0}).collect()
+    assert len(many) == 400 and {x.id: (x.fused, x.rank) for x in many} == few
+
+
 def test_ngrams(spark):
     r = random.Random(3)
     seqs = [("f", r.choice(["a", "b", None, "d"]), [r.choice("xyz") for _ in range(r.randint(0, 6))]) for _ in range(300)]
