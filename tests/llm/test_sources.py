@@ -101,10 +101,42 @@ def test_provenance(spark):
     files = {
         "a/src/hand.js": HAND, "a/gen/hand2.js": HAND.replace("load", "generate"), "a/lib/x.js": lib, "b/y.js": "\n".join(lines), "b/z.js": lib.replace("\n", "\r\n"), "c/own.js": _library(2), "c/own2.js": _library(2),
         "d/g.py": "# Code generated by tool. DO NOT EDIT.\nx = f(1)\n", "d/acc.js": "\n".join(f"function get{i}(m) {{ return m.f[{i}]; }}" for i in range(20)), "d/data.py": "d = [\n" + "\n".join(" 1, 22, 333, 44, 5, 66," for _ in range(40)) + "\n]\n",
-        "d/min.js": "var a=function(c){for(var j=0;j<2;)c(j++)};" * 20, "d/ban.js": "// Third-party library tiny, release 1.2.3 (x)\nlet q = 1;\n", "d/broken.js": "let x = ;\nfoo(", "d/e.js": "", "d/n.js": None,
+        "d/min.js": "var a=function(c){for(var j=0;j<2;)c(j++)};" * 20, "d/tinyq.js": "// Third-party library tinyq, release 1.2.3 (x)\nlet q = 1;\n", "d/broken.js": "let x = ;\nfoo(", "d/e.js": "", "d/n.js": None,
         "e/s.ts": "#!/bin/sh\nset -e\necho hello\n", "f/s.ts": "#!/bin/sh\nset -e\necho hello\n",
     }
     df = spark.createDataFrame([(p, t, 1) for p, t in files.items()] + [(None, lib, 1), ("d/min.js", files["d/min.js"], 1)], "path string, content string, kind int")
     got = {x.path: x.kind for x in P.provenance(df).collect()}
-    assert got == {"a/lib/x.js": "vendored", "b/y.js": "vendored", "b/z.js": "vendored", "d/g.py": "generated", "d/acc.js": "generated", "d/data.py": "data", "d/min.js": "minified", "d/ban.js": "vendored"}
+    assert got == {"a/lib/x.js": "vendored", "b/y.js": "vendored", "b/z.js": "vendored", "d/g.py": "generated", "d/acc.js": "generated", "d/data.py": "data", "d/min.js": "minified", "d/tinyq.js": "vendored"}
     assert P.provenance(df.limit(0)).count() == 0
+
+
+def test_marks_and_shapes():
+    java = "class A {\n" + "\n".join(f"  public int get{n}() {{\n    return {n.lower()};\n  }}" for n in "Row Col Top Left Width Height Depth Count Size Name Kind Path".split()) + "\n}\n"
+    assert P.composition("a/A.java", java) is None
+    assert P.composition("a/x.py", "# Do not change the order of the calls below\nopen(a)\nclose(a)\n") is None
+    assert P.composition("a/x.py", "# Schema v3. Generated by protogen 4.1; DO NOT EDIT.\nx = f(1)\n") == "generated"
+    assert P.composition("a/x.py", "# DO NOT EDIT\nx = f(1)\n") == "generated" and P.composition("a/x.py", "# do not edit this file by hand\nx = f(1)\n") == "generated"
+    assert P.composition("a/parser.js", "// Talks to parser 2 only, see release 1.2.3 of the protocol\nlet a = f(b);\n") is None
+
+
+def _lines(r, n):
+    return [f"let {r.choice('abc')}{r.random()} = call{r.randint(0, 99)}({r.random()});" for _ in range(n)]
+
+
+def test_one_source_has_to_contain_it(spark, monkeypatch):
+    """A file of passages from many repositories is no copy; one that mixes two libraries half and half is."""
+    r = random.Random(9)
+    parts = [_lines(r, 12) for _ in range(6)]
+    files = {f"r{i}/own.js": parts[i] + _lines(r, 30) for i in range(6)} | {"z/mosaic.js": [x for q in parts for x in q]}
+    lib = _lines(r, 60)
+    files |= {f"v{i}/lib.js": lib for i in range(30)} | {f"e{i}/lib.js": lib[:20] + _lines(r, 3) + lib[23:] for i in range(30)}
+    stock = _lines(r, 12)
+    files |= {f"s{i}/a.js": stock + _lines(r, 6 + i % 3) for i in range(30)}  # lines that everyone has are not rare
+    long_line = "var x = " + " + ".join(f"f{i}(a, b)" for i in range(60)) + ";"
+    files |= {"m/one.js": [long_line], "n/one.js": [long_line], "m/sh.js": ["set -e", "echo hello"], "n/sh.js": ["set -e", "echo hello"]}
+    df = spark.createDataFrame([(p, "\n".join(t), "x") for p, t in files.items()], "path string, content string, repo string")
+    want = {p for p in files if p[0] in "ve" or p.endswith("one.js")}
+    assert {x.path for x in P.provenance(df).collect() if x.kind == "vendored"} == want
+    import codestrata.llm.skew as K
+    monkeypatch.setattr(K.join_by_key, "__defaults__", (4,))
+    assert {x.path for x in P.provenance(df).collect() if x.kind == "vendored"} == want
