@@ -1,31 +1,36 @@
 """Problem 8: held-out test items that leak into a large corpus.
 
 MinHash containment search. Each item's own words (without instructions shared by several
-items) form overlapping passages in two size partitions: 12 words, which must occur
-unchanged, and 20 words, which may have one word in five changed, added or dropped. Every
-passage is a set of three-word shingles with a MinHash signature of ``slots`` minima. A
-document of any length is probed as the whole set of its shingles: the share of a
-passage's slots whose least shingle the document holds estimates containment. At one
-change in five at least a third of a passage's shingles survive, so with 64 slots a true
-passage falls below the threshold with a chance under one in 10^6. Candidates are then
-verified exactly: contained shingles in sequence, and an alignment of the words.
-
-The items are sent to the workers in blocks of bounded size, so any number of them can be
-searched; documents never shuffle. Of the result only item and document ids leave a task.
+items) form overlapping passages of three-word shingles. Items are partitioned by size:
+
+* under 20 own words only 12 words in a row can leak: a passage's signature is the least of
+  its 10 shingle hashes;
+* longer items also leak by 20 words and more with one word in five changed, added or
+  dropped: a passage's signature is the 15 least of its 18 hashes. Four changes leave at
+  least six shingles, so some of them are in the signature, and of an item without repeated
+  shingles at least two.
+
+The signatures are a table keyed by shingle. The corpus is read once: a document of any
+length stays only where some 44 shingles in a row hold six of any item (a Bloom filter of
+at most ``FILTER_BITS`` tells, whatever the number of items), and only with those shingles. They are
+joined to the table and counted per item; candidates are then verified exactly: 12 words in sequence, or an
+alignment of the words, which looks at passages of 20 to 39 words (a longer one contains
+one of these) and gives up at the eighth change. By these bounds no true pair is lost.
+
+Prompts, signatures and candidates stay in tables; the driver sees counts and the filter.
 
 Words: NFKC, case-folded, without characters of category Cf and without markup tags;
 runs of letters and digits, joined over inner hyphens, underscores and apostrophes.
 
 Defined results: null or empty prompts and texts match nothing; items with fewer than 12
-own words cannot match; repeated rows with the same ids are reported once; empty tables
-give no rows.
+own words cannot match; of repeated rows of an item the greatest prompt counts; repeated
+rows of a document are reported once; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.registry import query
+from codestrata.llm.skew import salted_join
 from codestrata.llm.tokens import slices
-from codestrata.session import load
+from codestrata.session import cut, load
 
 RUN, PASSAGE, EDITS_IN, SHINGLE = 12, 20, 5, 3
+SKETCH, LONGEST = 15, 39
+MOST_EDITS = LONGEST // EDITS_IN
+STRETCH = LONGEST + MOST_EDITS - SHINGLE + 1
+SURVIVE = PASSAGE - SHINGLE + 1 - SHINGLE * (PASSAGE // EDITS_IN)
+FILTER_BITS = 1 << 28
+_U = np.uint64
 _WORD = re.compile(r"[^\W_]+(?:[-_'’]+[^\W_]+)*")
 _INNER = re.compile(r"[\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,120}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
@@ -53,13 +65,6 @@ def words(text: str) -> list[str]:
     return [_INNER.sub("", w) if not w.isalnum() else w for w in _WORD.findall(text.casefold())]
 
 
-def own_words(prompts: dict) -> dict:
-    """id -> words of the prompt's sentences that no other prompt has."""
-    cut = {i: [tuple(words(s)) for s in _SENTENCE.split(p)] for i, p in prompts.items() if p}
-    often = Counter(s for ss in cut.values() for s in set(ss))
-    return {i: [w for s in ss if often[s] < 2 for w in s] for i, ss in cut.items()}
-
-
 def _hash_words(ws: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64)
 
@@ -80,153 +85,196 @@ def _shingles(h: np.ndarray) -> np.ndarray:
         return out
 
 
-class PassageIndex:
-    """Size-partitioned MinHash signatures of the items' passages, probed by whole documents."""
+def signature(ws: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(distinct shingles of an item, which of them are in a passage's signature, least number of these in a leak)."""
+    sh = _shingles(_hash_words(ws))
+    size, keep = (RUN, 1) if len(ws) < PASSAGE else (PASSAGE, SKETCH)
+    rank = _mix(sh)
+    chosen: set = set()
+    for at in range(len(ws) - size + 1):
+        part, where = np.unique(rank[at : at + size - SHINGLE + 1], return_index=True)
+        chosen.update((where[:keep] + at).tolist())
+    every = np.unique(sh)
+    return every, np.isin(every, sh[sorted(chosen)]), 2 if size == PASSAGE and len(every) == len(sh) else 1
 
-    def __init__(self, own: dict, slots: int = 64):
-        self.own = own
-        self.vocab = {i: set(w) for i, w in own.items()}
-        salts = _mix(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        item, least, shingle, passage, weight = [], [], [], [], []
-        for i, ws in own.items():
-            if len(ws) < RUN:
-                continue
-            sh = _shingles(_hash_words(ws))
-            for size, share in ((RUN, 1.0), (PASSAGE, 0.125)):
-                for at in range(len(ws) - size + 1):
-                    part = np.unique(sh[at : at + size - SHINGLE + 1])
-                    low = part[np.argmin(_mix(part[None, :] ^ salts[:, None]), axis=1)]
-                    u, n = np.unique(low, return_counts=True)
-                    shingle.append(u)
-                    weight.append(n)
-                    passage.append(np.full(len(u), len(item)))
-                    item.append(i)
-                    least.append(int(np.ceil(share * slots)))
-        self.item, self.least = np.array(item, object), np.array(least, np.int64)
-        flat = np.concatenate(shingle) if shingle else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.table, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat)).astype(np.int64)
-        self.passage = np.concatenate(passage)[order] if shingle else np.zeros(0, np.int64)
-        self.weight = np.concatenate(weight)[order] if shingle else np.zeros(0, np.int64)
-
-    def candidates(self, doc: np.ndarray, sh: np.ndarray):
-        """(document, item) pairs whose estimated containment reaches a passage's threshold."""
-        if not len(self.table) or not len(sh):
-            return []
-        at = np.minimum(np.searchsorted(self.table, sh), len(self.table) - 1)
-        hit = self.table[at] == sh
-        pairs = np.unique(np.stack([doc[hit], at[hit]]), axis=1)
-        if not pairs.size:
-            return []
-        n = self.first[pairs[1] + 1] - self.first[pairs[1]]
-        rep = np.repeat(np.arange(len(n)), n)
-        entry = np.repeat(self.first[pairs[1]], n) + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-        key = pairs[0][rep] * len(self.item) + self.passage[entry]
-        keys, inv = np.unique(key, return_inverse=True)
-        got = np.bincount(inv, self.weight[entry])
-        keys = keys[got >= self.least[keys % len(self.item)]]
-        return sorted({(int(k // len(self.item)), self.item[k % len(self.item)]) for k in keys})
-
-
-def longest_run(a: list[str], b: list[str]) -> int:
-    """Length of the longest run of consecutive words in both."""
-    best, ends = 0, {}
-    where: dict = {}
-    for i, w in enumerate(a):
-        where.setdefault(w, []).append(i)
-    for w in b:
-        now = {}
-        for i in where.get(w, ()):
-            now[i] = ends.get(i - 1, 0) + 1
-            best = max(best, now[i])
-        ends = now
-    return best
-
-
-def close_passage(a: list[str], b: list[str], least: int = PASSAGE, one_in: int = EDITS_IN) -> bool:
-    """Whether some passage of at least ``least`` words of ``a`` is in ``b`` with at most one edit per ``one_in`` words."""
-    if len(a) < least or not b:
+
+def has_run(a: list[str], b: list[str]) -> bool:
+    """Whether RUN consecutive words of ``a`` are in ``b``."""
+    runs = {tuple(a[i : i + RUN]) for i in range(len(a) - RUN + 1)}
+    return any(tuple(b[j : j + RUN]) in runs for j in range(len(b) - RUN + 1))
+
+
+def close_passage(a: list[str], b: list[str]) -> bool:
+    """Whether some passage of at least PASSAGE words of ``a`` is in ``b`` with at most one edit per EDITS_IN words.
+
+    A passage of 40 words or more has a half that does as well, so those of 20 to 39 words decide.
+    """
+    if len(a) < PASSAGE or not b:
         return False
     ids = {w: k for k, w in enumerate(dict.fromkeys(a))}
     x = np.array([ids[w] for w in a])
     y = np.array([ids.get(w, -1) for w in b])
-    # a passage of n words with n / 5 edits leaves 16 of 20 words in a stretch of 24
+    least = PASSAGE - PASSAGE // EDITS_IN  # words of a passage that stay
+    # places of the text within reach of a stretch that holds enough of the item's words
     inside = np.concatenate([[0], np.cumsum(y >= 0)])
-    span = least + least // one_in
-    need = least - least // one_in
-    stop = np.minimum(np.arange(len(y)) + span, len(y))
-    rich = np.flatnonzero(inside[stop] - inside[: len(y)] >= need)
-    if not len(rich):
+    width = LONGEST + MOST_EDITS
+    stop = np.minimum(np.arange(len(y)) + width, len(y))
+    rich = inside[stop] - inside[: len(y)] >= least
+    if not rich.any():
         return False
-    lo, hi = max(0, rich[0] - len(a)), min(len(y), rich[-1] + span + len(a))
-    y = y[lo:hi]
-    col = np.arange(len(y) + 1)
-    for start in range(len(x) - least + 1):
-        row = np.zeros(len(y) + 1, np.int64)
-        for n, w in enumerate(x[start:], 1):
-            up = row + 1
-            up[1:] = np.minimum(up[1:], row[:-1] + (y != w))
-            row = np.minimum.accumulate(up - col) + col
-            if n >= least and row.min() * one_in <= n:
-                return True
-            if row.min() * one_in > len(x) - start:
-                break
+    mark = np.zeros(len(y) + 1, np.int64)
+    at = np.flatnonzero(rich)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, stop[at], -1)
+    open_ = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(mark[:-1]) > 0).astype(np.int64), [0]])))
+    known = np.concatenate([[0], np.cumsum(np.isin(x, y))])
+    for lo, hi in zip(open_[::2], open_[1::2]):
+        part = y[lo:hi]
+        col = np.arange(len(part) + 1)
+        for start in range(len(x) - PASSAGE + 1):
+            if known[start + PASSAGE] - known[start] < least - MOST_EDITS:
+                continue
+            row = np.zeros(len(part) + 1, np.int64)
+            for n, w in enumerate(x[start : start + LONGEST], 1):
+                up = row + 1
+                up[1:] = np.minimum(up[1:], row[:-1] + (part != w))
+                row = np.minimum.accumulate(up - col) + col
+                edits = row.min()
+                if edits * EDITS_IN <= n and n >= PASSAGE:
+                    return True
+                if edits > MOST_EDITS:
+                    break
     return False
 
 
 def leaks(item: list[str], doc: list[str]) -> bool:
     """Exact verification: RUN consecutive words, or a close passage."""
-    return longest_run(item, doc) >= RUN or close_passage(item, doc)
+    return has_run(item, doc) or close_passage(item, doc)
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint64).view(np.int64)
+
 
+def own_words(items: DataFrame) -> DataFrame:
+    """(item, words) of items (item, prompt): the words of the sentences that no other prompt has."""
+    kind = items.schema["item"].dataType.simpleString()
+
+    def sentences(batches):
+        for b in batches:
+            rows = []
+            for k, p in enumerate(b.column(1).to_pylist()):
+                for at, s in enumerate(_SENTENCE.split(p)):
+                    ws = words(s)
+                    if ws:
+                        rows.append((k, at, xxhash.xxh3_128_digest("\0".join(ws)), ws))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.string()))], names=["item", "at", "digest", "words"])
+
+    said = items.mapInArrow(sentences, f"item {kind}, at int, digest binary, words array<string>")
+    said = said.groupBy("digest", "item").agg(F.collect_list("at").alias("at"), F.first("words").alias("words"))
+    said = said.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("item", "at", "words")).alias("s")).where("n = 1").select("s.*")
+    said = said.select("item", F.explode("at").alias("at"), "words").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("s"))
+    return said.select("item", F.flatten("s.words").alias("words")).where(F.size("words") >= RUN)
+
+
+def item_shingles(own: DataFrame) -> DataFrame:
+    """(item, shingle, signed, least) of each own shingle of an item; ``signed``: it is in a passage's signature."""
+    kind = own.schema["item"].dataType.simpleString()
 
-def _search(index, names):
     def run(batches):
-        index_ = index.value
+        for b in batches:
+            for k, ws in enumerate(b.column(1).to_pylist()):
+                every, chosen, least = signature(ws)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(every), pa.int64())), pa.array(_signed(every)), pa.array(chosen), pa.array(np.full(len(every), least, np.int32))], names=["item", "shingle", "signed", "least"])
+
+    return own.select("item", "words").mapInArrow(run, f"item {kind}, shingle long, signed boolean, least int")
+
+
+def _bits(shingle: np.ndarray, size: int):
+    h = shingle.view(np.uint64)
+    return (h & _U(size - 1)).astype(np.int64), ((h >> _U(32)) & _U(size - 1)).astype(np.int64)
+
+
+def shingle_filter(shingles: DataFrame) -> np.ndarray:
+    """A Bloom filter of the shingles, two bits each, 16 bits a shingle up to FILTER_BITS in all."""
+    distinct = shingles.select("shingle").distinct()
+    size = min(FILTER_BITS, max(1 << 12, 1 << int(16 * distinct.count()).bit_length()))
+    places = distinct.select(F.explode(F.array(F.col("shingle").bitwiseAND(size - 1), F.shiftrightunsigned("shingle", 32).bitwiseAND(size - 1))).alias("p"))
+    filled = places.groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("word")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[filled.column("at").to_numpy()] = filled.column("word").to_numpy()
+    return out
+
+
+def _probe(filter_):
+    """Batches of documents -> (doc, txt, hits) of those with SURVIVE known shingles in some STRETCH in a row."""
+
+    def run(batches):
+        table = filter_.value
+        size = len(table) * 64
         for b in batches:
             texts = b.column(1).to_pylist()
-            ids = b.column(0)
             for i, j in slices(texts, 1 << 19):
-                seqs = [words(t) if t else [] for t in texts[i:j]]
                 hashes: dict = {}
-                sh, doc = [], []
-                for k, ws in enumerate(seqs):
-                    if len(ws) < SHINGLE:
+                kept, hits = [], []
+                for k in range(i, j):
+                    ws = words(texts[k])
+                    if len(ws) < RUN:
                         continue
                     for w in ws:
                         if w not in hashes:
                             hashes[w] = xxhash.xxh3_64_intdigest(w)
-                    s = _shingles(np.array([hashes[w] for w in ws], np.uint64))
-                    sh.append(s)
-                    doc.append(np.full(len(s), k))
-                if not sh:
-                    continue
-                got = [(it, k) for k, it in index_.candidates(np.concatenate(doc), np.concatenate(sh)) if leaks(index_.own[it], seqs[k])]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([it for it, _ in got], names[0][1]), ids.take(pa.array([i + k for _, k in got]))], names=["item", "doc"])
+                    sh = _shingles(np.array([hashes[w] for w in ws], np.uint64))
+                    p, q = _bits(sh, size)
+                    known = ((table[p >> 6] >> (p & 63)) & (table[q >> 6] >> (q & 63)) & 1).astype(np.int64)
+                    total = np.concatenate([[0], np.cumsum(known)])
+                    stop = np.minimum(np.arange(len(sh)) + STRETCH, len(sh))
+                    dense = np.flatnonzero(total[stop] - total[:-1] >= SURVIVE)
+                    if not len(dense):
+                        continue
+                    mark = np.zeros(len(sh) + 1, np.int64)
+                    np.add.at(mark, dense, 1)
+                    np.add.at(mark, stop[dense], -1)
+                    kept.append(k)
+                    hits.append(_signed(np.unique(sh[(known > 0) & (np.cumsum(mark[:-1]) > 0)])))
+                if kept:
+                    take = pa.array(kept, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(hits, pa.list_(pa.int64()))], names=["doc", "txt", "hits"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, prompt: str, block: int = 5_000, slots: int = 64) -> DataFrame:
-    """Distinct (item, key) of documents that hold a passage of an item.
+def _verify(batches):
+    last, ws = None, []
+    for b in batches:
+        texts, items = b.column(2).to_pylist(), b.column(1).to_pylist()
+        keep = []
+        for t, item in zip(texts, items):
+            if t != last:
+                last, ws = t, words(t)
+            keep.append(leaks(item, ws))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(3).filter(mask)], names=["item", "doc"])
 
-    ``items`` is the stated set of queries. It is read once at the driver, where shared
-    instructions are told from own words, and goes out in blocks of ``block`` items.
-    """
+
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, prompt: str, few: int = 500_000) -> DataFrame:
+    """Distinct (item, key) of documents that hold a passage of an item. ``few``: see :func:`salted_join`."""
     spark = docs.sparkSession
-    prompts = {r[0]: r[1] for r in items.select(item, prompt).where(F.col(item).isNotNull() & F.col(prompt).isNotNull()).toLocalIterator()}
-    own = own_words(prompts)
     kinds = [items.schema[item].dataType.simpleString(), docs.schema[key].dataType.simpleString()]
-    arrow = pa.string() if kinds[0] == "string" else pa.int64()
-    src = docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    out = None
-    order = sorted(own)
-    for at in range(0, max(1, len(order)), block):
-        index = spark.sparkContext.broadcast(PassageIndex({i: own[i] for i in order[at : at + block]}, slots))
-        part = src.mapInArrow(_search(index, [("item", arrow)]), f"item {kinds[0]}, doc {kinds[1]}")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct().select(F.col("item").alias(item), F.col("doc").alias(key))
+    said = items.select(F.col(item).alias("item"), F.col(prompt).alias("prompt")).where("item is not null and prompt is not null")
+    own = cut(own_words(said.groupBy("item").agg(F.max("prompt").alias("prompt"))))
+    shingles = cut(item_shingles(own))
+    seen = spark.sparkContext.broadcast(shingle_filter(shingles))
+    src = docs.select(F.col(key).alias("doc"), F.col(text).alias("txt")).where("doc is not null and txt is not null")
+    near = src.mapInArrow(_probe(seen), f"doc {kinds[1]}, txt string, hits array<long>")
+    near = cut(near.withColumn("tid", F.xxhash64("txt")))
+    hits = near.select("doc", "tid", F.explode("hits").alias("shingle"))
+    found = salted_join(hits, shingles.where("signed").select("shingle", "item", "least"), ["shingle"], few=few)
+    found = found.groupBy("doc", "tid", "item").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("doc", "tid", "item")
+    pairs = salted_join(cut(found), own, ["item"], few=few // 100)
+    checked = pairs.join(near.select("doc", "tid", "txt"), ["doc", "tid"]).select("item", "words", "txt", "doc").sortWithinPartitions("doc", "txt").mapInArrow(_verify, f"item {kinds[0]}, doc {kinds[1]}")
+    return checked.distinct().select(F.col("item").alias(item), F.col("doc").alias(key))
 
 
 @query("p8_found")
