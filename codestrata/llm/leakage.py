@@ -12,7 +12,7 @@ items) form overlapping passages of three-word shingles. Items are partitioned b
 
 The signatures are a table keyed by shingle. The corpus is read once: a document of any
 length stays only where some 44 shingles in a row hold six of any item (a Bloom filter of
-at most ``FILTER_BITS`` tells, whatever the number of items), and only with those shingles. They are
+bounded size tells, whatever the number of items), and only with those shingles. They are
 joined to the table and counted per item; candidates are then verified exactly: 12 words in sequence, or an
 alignment of the words, which looks at passages of 20 to 39 words (a longer one contains
 one of these) and gives up at the eighth change. By these bounds no true pair is lost.
@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.llm.bloom import bloom_filter, contains
 from codestrata.llm.registry import query
 from codestrata.llm.skew import salted_join
 from codestrata.llm.tokens import slices
@@ -48,8 +49,6 @@ SKETCH, LONGEST = 15, 39
 MOST_EDITS = LONGEST // EDITS_IN
 STRETCH = LONGEST + MOST_EDITS - SHINGLE + 1
 SURVIVE = PASSAGE - SHINGLE + 1 - SHINGLE * (PASSAGE // EDITS_IN)
-FILTER_BITS = 1 << 28
-_U = np.uint64
 _WORD = re.compile(r"[^\W_]+(?:[-_'’]+[^\W_]+)*")
 _INNER = re.compile(r"[\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,120}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
@@ -191,28 +190,10 @@ def item_shingles(own: DataFrame) -> DataFrame:
     return own.select("item", "words").mapInArrow(run, f"item {kind}, shingle long, signed boolean, least int")
 
 
-def _bits(shingle: np.ndarray, size: int):
-    h = shingle.view(np.uint64)
-    return (h & _U(size - 1)).astype(np.int64), ((h >> _U(32)) & _U(size - 1)).astype(np.int64)
-
-
-def shingle_filter(shingles: DataFrame) -> np.ndarray:
-    """A Bloom filter of the shingles, two bits each, 16 bits a shingle up to FILTER_BITS in all."""
-    distinct = shingles.select("shingle").distinct()
-    size = min(FILTER_BITS, max(1 << 12, 1 << int(16 * distinct.count()).bit_length()))
-    places = distinct.select(F.explode(F.array(F.col("shingle").bitwiseAND(size - 1), F.shiftrightunsigned("shingle", 32).bitwiseAND(size - 1))).alias("p"))
-    filled = places.groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("word")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[filled.column("at").to_numpy()] = filled.column("word").to_numpy()
-    return out
-
-
 def _probe(filter_):
     """Batches of documents -> (doc, txt, hits) of those with SURVIVE known shingles in some STRETCH in a row."""
 
     def run(batches):
-        table = filter_.value
-        size = len(table) * 64
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts, 1 << 19):
@@ -226,8 +207,7 @@ def _probe(filter_):
                         if w not in hashes:
                             hashes[w] = xxhash.xxh3_64_intdigest(w)
                     sh = _shingles(np.array([hashes[w] for w in ws], np.uint64))
-                    p, q = _bits(sh, size)
-                    known = ((table[p >> 6] >> (p & 63)) & (table[q >> 6] >> (q & 63)) & 1).astype(np.int64)
+                    known = contains(filter_.value, sh).astype(np.int64)
                     total = np.concatenate([[0], np.cumsum(known)])
                     stop = np.minimum(np.arange(len(sh)) + STRETCH, len(sh))
                     dense = np.flatnonzero(total[stop] - total[:-1] >= SURVIVE)
@@ -265,7 +245,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     said = items.select(F.col(item).alias("item"), F.col(prompt).alias("prompt")).where("item is not null and prompt is not null")
     own = cut(own_words(said.groupBy("item").agg(F.max("prompt").alias("prompt"))))
     shingles = cut(item_shingles(own))
-    seen = spark.sparkContext.broadcast(shingle_filter(shingles))
+    seen = spark.sparkContext.broadcast(bloom_filter(shingles.select("shingle").distinct(), "shingle"))
     src = docs.select(F.col(key).alias("doc"), F.col(text).alias("txt")).where("doc is not null and txt is not null")
     near = src.mapInArrow(_probe(seen), f"doc {kinds[1]}, txt string, hits array<long>")
     near = cut(near.withColumn("tid", F.xxhash64("txt")))
