@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.registry import query
-from codestrata.session import load
+from codestrata.llm.skew import salted_join
+from codestrata.session import cut, load
 
 
 def clean_path(c):
@@ -36,6 +37,11 @@ def baskets(rows: DataFrame, key: str, group: str, items: str, clean=clean_path,
     return df.where(F.size("items") <= max_items) if max_items else df
 
 
+def _group_key(name: str):
+    """A group as text that is never null, so that a null group joins like any other."""
+    return F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("="), F.col(name).cast("string")))
+
+
 def pair_counts(b: DataFrame, min_pair: int = 1, min_lift: float = 0.0) -> DataFrame:
     """Pairs (grp, item_a < item_b) with counts, lift and PMI in bits.
 
@@ -50,14 +56,17 @@ def pair_counts(b: DataFrame, min_pair: int = 1, min_lift: float = 0.0) -> DataF
         .groupBy("grp", "p.item_a", "p.item_b").agg(F.count("*").alias("pair_n")).where(F.col("pair_n") >= min_pair)
     )
     singles = b.select("grp", F.explode("items").alias("item")).groupBy("grp", "item").agg(F.count("*").alias("n"))
-    totals = b.groupBy("grp").agg(F.count("*").alias("baskets"))
+    # a group may hold most pairs: groups go to every task if they are few, else the pairs of a large one are spread
+    totals = cut(b.groupBy(_group_key("grp").alias("gt")).agg(F.count("*").alias("baskets")))
     a = singles.select(F.col("grp").alias("ga"), F.col("item").alias("ia"), F.col("n").alias("n_a"))
     z = singles.select(F.col("grp").alias("gb"), F.col("item").alias("ib"), F.col("n").alias("n_b"))
-    t = totals.select(F.col("grp").alias("gt"), "baskets")
-    out = (
+    met = (
         counted.join(a, F.col("grp").eqNullSafe(F.col("ga")) & (F.col("item_a") == F.col("ia")))
         .join(z, F.col("grp").eqNullSafe(F.col("gb")) & (F.col("item_b") == F.col("ib")))
-        .join(t, F.col("grp").eqNullSafe(F.col("gt")))
+        .withColumn("gt", _group_key("grp"))
+    )
+    out = (
+        salted_join(met, totals, ["gt"])
         .where(F.col("pair_n") * F.col("baskets") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
     )
     lift = F.col("pair_n") * F.col("baskets") / (F.col("n_a") * F.col("n_b"))

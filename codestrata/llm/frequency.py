@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.registry import query
-from codestrata.session import load, shuffle_width
+from codestrata.session import cut, load
 
 _GRAMS = "field string, gram array<string>, occurrences bigint, records bigint"
 _OUT = pa.schema([("field", pa.string()), ("gram", pa.list_(pa.string())), ("occurrences", pa.int64()), ("records", pa.int64())])
@@ -83,18 +83,18 @@ def ngram_counts(seqs: DataFrame, max_n: int = 1, hot_rows: int = 200_000) -> Da
         suffixes = F.transform("terms", lambda t: F.array(t))
     else:
         suffixes = F.transform("terms", lambda t, i: F.slice("terms", i + 1, max_n))
-    rows = (
+    rows = cut(
         seqs.where(F.size("terms") > 0).select("field", "record", F.explode(suffixes).alias("suffix"))
         .groupBy("field", "suffix", "record").agg(F.count("*").alias("n"))
-        .withColumn("head", F.col("suffix")[0])
-    )
+    ).withColumn("head", F.col("suffix")[0])
     hot = rows.groupBy("field", "head").agg(F.count("*").alias("c")).where(F.col("c") > hot_rows)
     hot = hot.select(F.col("field").alias("hf"), F.col("head").alias("hh"), F.ceil(F.col("c") / hot_rows).cast("int").alias("parts"))
-    routed = rows.join(hot, (F.col("field") == F.col("hf")) & (F.col("head") == F.col("hh")), "left").withColumn(
+    # at most rows / hot_rows first terms are hot
+    routed = rows.join(F.broadcast(hot), (F.col("field") == F.col("hf")) & (F.col("head") == F.col("hh")), "left").withColumn(
         "salt", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("record"), F.col("parts")).cast("int"))
     )
     ordered = (
-        routed.repartition(shuffle_width(seqs.sparkSession), "field", "head", "salt")
+        routed.repartition("field", "head", "salt")
         .sortWithinPartitions("field", "salt", F.col("suffix").desc())
         .select("field", "salt", "suffix", "record", "n")
     )
@@ -140,6 +140,11 @@ def canonical_columns(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
+def _mark(records, files: int, rare_max: int = 2, common_one_in: int = 10):
+    """``rare`` for few records, ``common`` for more than one in ``common_one_in`` of all, else null."""
+    return F.when(records <= rare_max, "rare").when(records * common_one_in > files, "common")
+
+
 def value_frequencies(symbols: DataFrame, rare_max: int = 2, common_one_in: int = 10, hot_rows: int = 200_000) -> DataFrame:
     """Occurrences and files of each distinct name and kind, marked ``rare``, ``common`` or null."""
     files = symbols.agg(F.count_distinct("file")).first()[0]
@@ -149,7 +154,7 @@ def value_frequencies(symbols: DataFrame, rare_max: int = 2, common_one_in: int
         F.struct(F.lit("kind").alias("field"), F.lower("kind").alias("value")),
     )
     seqs = tidy.select("record", F.explode(pairs).alias("p")).where("p.value is not null").select("p.field", "record", F.array("p.value").alias("terms"))
-    mark = F.when(F.col("records") <= rare_max, "rare").when(F.col("records") * common_one_in > files, "common")
+    mark = _mark(F.col("records"), files, rare_max, common_one_in)
     return ngram_counts(seqs, 1, hot_rows).select("field", F.col("gram")[0].alias("value"), "occurrences", F.col("records").alias("files"), mark.alias("mark"))
 
 
@@ -174,16 +179,21 @@ def p3_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_terms(c):
-    """The lower-case words of an identifier: runs of letters or digits, split at case changes."""
-    return F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")), "[^a-z0-9]+"), lambda t: t != "")
+    """The lower-case words of an identifier: runs of letters, marks or digits of any script, split at case changes."""
+    apart = F.regexp_replace(F.regexp_replace(c, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.filter(F.split(F.lower(apart), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
-@query("p3_terms", """
-WITH s AS (SELECT file, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '') AS w
-  FROM symbols WHERE name IS NOT NULL),
-g AS (SELECT file, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(1, least(3, len(w) - i + 1) + 1), lambda n: array_to_string(w[i:i + n - 1], ' '))))) AS term FROM s)
-SELECT term, count(*) AS occurrences, count(DISTINCT file) AS files FROM g GROUP BY ALL""")
+@query("p3_terms", rf"""
+WITH n AS (SELECT file, {_VAL.format('name')} AS name FROM symbols WHERE name IS NOT NULL),
+s AS (SELECT file, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda t: t <> '') AS w FROM n),
+g AS (SELECT file, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(1, least(3, len(w) - i + 1) + 1), lambda n: array_to_string(w[i:i + n - 1], ' '))))) AS term FROM s),
+c AS (SELECT term, count(*) AS occurrences, count(DISTINCT file) AS files FROM g GROUP BY ALL)
+SELECT *, CASE WHEN files <= 2 THEN 'rare' WHEN 10 * files > (SELECT count(DISTINCT file) FROM symbols) THEN 'common' END AS mark FROM c""")
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of the word n-grams of names, up to three words."""
-    s = load(spark, d, "symbols").where("name is not null").select(F.lit("name").alias("field"), F.col("file").alias("record"), name_terms(F.col("name")).alias("terms"))
-    return ngram_counts(s, 3).select(F.array_join("gram", " ").alias("term"), "occurrences", F.col("records").alias("files"))
+    """Counts of the word n-grams of names, up to three words, with the marks of p3_values."""
+    symbols = load(spark, d, "symbols").select("name", "file")
+    files = symbols.agg(F.count_distinct("file")).first()[0]
+    tidy = canonical_columns(symbols.where("name is not null"), "name")
+    s = tidy.select(F.lit("name").alias("field"), F.col("file").alias("record"), name_terms(F.col("name")).alias("terms"))
+    return ngram_counts(s, 3).select(F.array_join("gram", " ").alias("term"), "occurrences", F.col("records").alias("files"), _mark(F.col("records"), files).alias("mark"))

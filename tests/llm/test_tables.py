@@ -104,7 +104,13 @@ def test_value_marks(spark):
     assert Q.value_frequencies(spark.createDataFrame([], "file string, name string, kind string")).count() == 0
 
 
-def test_pairs(spark):
+def test_terms_of_names(spark):
+    rows = [("a", 1, "BindCatalogñ"), ("b", 2, "bind_catalog\u006e\u0303"), ("c", 3, "get\u200bGraph24é"), ("d", 4, "解析HTMLTree"), ("e", 5, None), ("f", 6, "__")]
+    got = {x.n: x.t for x in spark.createDataFrame(rows, "s string, n int, name string").transform(lambda df: Q.canonical_columns(df, "name")).select("n", Q.name_terms(F.col("name")).alias("t")).collect()}
+    assert got == {1: ["bind", "catalogñ"], 2: ["bind", "catalogñ"], 3: ["get", "graph24é"], 4: ["解析html", "tree"], 5: None, 6: []}
+
+
+def test_pairs(spark, monkeypatch):
     r = random.Random(4)
     names = [f"r/{i}" for i in range(12)]
     rows = []
@@ -130,4 +136,7 @@ def test_pairs(spark):
     for x in got:
         lift = x.pair_n * total[x.grp] / (single[x.grp, x.item_a] * single[x.grp, x.item_b])
         assert abs(x.lift - lift) < 1e-5 and abs(x.pmi - math.log2(lift)) < 1e-5
+    monkeypatch.setattr(C.salted_join, "__defaults__", (3, 1))
+    again = C.pair_counts(C.baskets(df, "key", "grp0", "files"), 2, 0.5).collect()
+    assert {(x.grp, x.item_a, x.item_b): x.pair_n for x in again} == want and len(again) == len(want)
     assert C.pair_counts(C.baskets(df.limit(0), "key", "grp0", "files")).count() == 0
