@@ -105,24 +105,20 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("target_id").alias("callees"))
 
 
-#: The 200 symbols that the SQL of the edge reports has; the queries have all.
-_POPULAR = "pop AS (SELECT id FROM t WHERE length(name) >= 9 AND exported ORDER BY md5(id), id LIMIT 200)"
-
-
-@query("edge_strength_tiers", sql(_SCOPES + f""", {_POPULAR} SELECT id, strength, count(*) AS sites, count(DISTINCT file) AS files FROM e WHERE id IN (SELECT id FROM pop) GROUP BY ALL"""))
+@query("edge_strength_tiers", sql(_SCOPES + f""" SELECT id, strength, count(*) AS sites, count(DISTINCT file) AS files FROM e GROUP BY ALL"""))
 def edge_strength_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Call sites and files of every symbol by strength; the SQL has 200 symbols only."""
+    """Call sites and files of every symbol by strength."""
     return graph.count_strengths(scoped(spark, d).split())
 
 
-@query("reference_ranks", sql(_SCOPES + f""", {_POPULAR},
+@query("reference_ranks", sql(_SCOPES + f""",
 k AS (SELECT e.*, CASE WHEN strength = 'weak-member' THEN 5 WHEN {_DIR.format('e.file')} = t.dir THEN 1 WHEN strength IN ('import-connected', 'resolved') THEN 2
-  WHEN {_DIR.format(_DIR.format('e.file'))} = {_DIR.format('t.dir')} OR {_DIR.format('e.file')} = {_DIR.format('t.dir')} THEN 3 ELSE 4 END AS tier FROM e JOIN t USING (id) WHERE id IN (SELECT id FROM pop)),
+  WHEN {_DIR.format(_DIR.format('e.file'))} = {_DIR.format('t.dir')} OR {_DIR.format('e.file')} = {_DIR.format('t.dir')} THEN 3 ELSE 4 END AS tier FROM e JOIN t USING (id)),
 w AS (SELECT *, row_number() OVER (PARTITION BY id, tier = 5 ORDER BY tier, file, line, ref_id) AS rw FROM k),
 x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, file, line, ref_id) AS rank FROM w WHERE tier < 5 OR rw <= 8)
 SELECT id, ref_id, file, line, tier, rank FROM x WHERE rank <= 20"""))
 def reference_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of every symbol by nearness, weak member calls last and at most 8; the SQL has 200 symbols only."""
+    """Callers of every symbol by nearness, weak member calls last and at most 8."""
     s = scoped(spark, d)
     return graph.rank_references(graph.leading_references(s.split()), s.symbols).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -167,15 +163,23 @@ _STRICT_BLAST = sql(_STRICT + " SELECT dst AS id, count(*) AS callers, count(DIS
 _STRICT_HOPS = sql(_STRICT + " SELECT dst AS id, depth, count(*) AS callers FROM mn GROUP BY ALL")
 
 
-@query("blast_radius_depth2", _STRICT_BLAST)
+#: Hops by name: every edge gives a caller, those that are import-connected or resolved lead on.
+_NAMED = sql(_SCOPES + """,
+one AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, file, bool_or(strength IN ('resolved', 'import-connected')) AS walked FROM e GROUP BY ALL),
+two AS (SELECT a.id, z.caller, z.file FROM one a JOIN one z ON z.id = a.caller WHERE a.walked),
+hp AS (SELECT id, caller, file, min(depth) AS depth FROM (SELECT id, caller, file, 1 AS depth FROM one UNION ALL SELECT id, caller, file, 2 FROM two) GROUP BY ALL)
+""")
+
+
+@query("blast_radius_depth2", _NAMED + "SELECT id, count(*) AS callers, count(DISTINCT file) AS files, max(depth) AS depths FROM hp GROUP BY id")
 def blast_radius_depth2(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct transitive callers by name, two hops, of every symbol; the SQL has resolved calls only."""
+    """Distinct transitive callers by name, two hops, of every symbol."""
     return graph.named_blast_radius(scoped(spark, d).split())
 
 
-@query("impact_by_hop", _STRICT_HOPS)
+@query("impact_by_hop", _NAMED + "SELECT id, depth, count(*) AS callers FROM hp GROUP BY ALL")
 def impact_by_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Callers by name of every symbol per hop; the SQL has resolved calls only."""
+    """Callers by name of every symbol per hop."""
     return graph.named_callers_by_hop(scoped(spark, d).split()).groupBy("id", "depth").agg(F.count("*").alias("callers"))
 
 
@@ -191,19 +195,19 @@ def impact_by_hop_resolved(spark: SparkSession, d: str) -> DataFrame:
     return graph.callers_by_hop(graph.call_edges(views.refs(spark, d)), 2).groupBy(F.col("dst").alias("id"), "depth").agg(F.count("*").alias("callers"))
 
 
-@query("caller_groups", sql(_SCOPES + f""", {_POPULAR},
+@query("caller_groups", sql(_SCOPES + f""",
 g AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, count(*) AS sites, min(line) AS first_line, max(CASE strength WHEN 'resolved' THEN 3 WHEN 'import-connected' THEN 2 WHEN 'name-match' THEN 1 ELSE 0 END) AS rank
-  FROM e WHERE id IN (SELECT id FROM pop) GROUP BY ALL) SELECT * FROM g"""))
+  FROM e GROUP BY ALL) SELECT * FROM g"""))
 def caller_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Call sites of every symbol, one row per calling symbol or, at module level, file; the SQL has 200 symbols only."""
+    """Call sites of every symbol, one row per calling symbol or, at module level, file."""
     return graph.group_all_callers(scoped(spark, d).split())
 
 
-@query("distinct_callers", sql(_SCOPES + f""", {_POPULAR},
-g AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, any_value(file) AS file, max(CASE strength WHEN 'resolved' THEN 3 WHEN 'import-connected' THEN 2 WHEN 'name-match' THEN 1 ELSE 0 END) AS rank FROM e WHERE id IN (SELECT id FROM pop) GROUP BY ALL)
+@query("distinct_callers", sql(_SCOPES + f""",
+g AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, any_value(file) AS file, max(CASE strength WHEN 'resolved' THEN 3 WHEN 'import-connected' THEN 2 WHEN 'name-match' THEN 1 ELSE 0 END) AS rank FROM e GROUP BY ALL)
 SELECT id, count(*) AS callers, count(DISTINCT file) AS files, count(*) FILTER (WHERE rank = 3) AS structural, count(*) FILTER (WHERE rank IN (1, 2)) AS name_match, count(*) FILTER (WHERE rank = 0) AS weak_member FROM g GROUP BY id"""))
 def distinct_callers(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct callers of every symbol by tier; the SQL has 200 symbols only."""
+    """Distinct callers of every symbol by tier."""
     return graph.count_callers(scoped(spark, d).split())
 
 
