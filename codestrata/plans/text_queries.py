@@ -16,9 +16,17 @@ WORDS = ["lease", "graph", "render"]
 
 
 def _terms(c: str) -> str:
+    apart = f"regexp_replace(regexp_replace(coalesce({c}, ''), '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array(lower({apart}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def _weight(t: str, w: str, size: int | str) -> str:
+    """A term's weight for a word: 1 if equal, less if it begins with it or is within a fifth of its length in edits."""
+    reach = f"least(6, round(0.2 * {size}))"
     return (
-        "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce({0}, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '')"
-    ).format(c)
+        f"CASE WHEN {t} = {w} THEN 1.0 WHEN starts_with({t}, {w}) THEN 0.375 * length({t}) / (length({t}) + 0.3 * (length({t}) - {size}))"
+        f" WHEN abs(length({t}) - {size}) <= {reach} AND levenshtein({t}, {w}) <= {reach} THEN 0.45 * length({t}) / (length({t}) + levenshtein({t}, {w})) ELSE 0.0 END"
+    )
 
 
 def _bm25_sql(where: str = "") -> str:
@@ -29,7 +37,7 @@ def _bm25_sql(where: str = "") -> str:
     return f"""
 tk AS (SELECT id, name, file, exported, {tok} FROM s {where}),
 lg AS ({long}), q(w) AS (VALUES {q}),
-tf AS (SELECT id, field, boost, len(toks) AS dl, w, len(list_filter(toks, lambda t: t = w)) AS tf FROM lg, q),
+tf AS (SELECT id, field, boost, len(toks) AS dl, w, coalesce(list_sum(list_transform(toks, lambda t: ({_weight('t', 'w', 'length(w)')})::DOUBLE)), 0) AS tf FROM lg, q),
 st AS (SELECT field, w, count(*) AS n, avg(dl) AS al, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY ALL),
 sc AS (SELECT id, sum(boost * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))) AS score FROM tf JOIN st USING (field, w) WHERE tf > 0 GROUP BY id)"""
 
@@ -57,10 +65,12 @@ def search_churn_boosted(spark: SparkSession, d: str) -> DataFrame:
     return search.search_symbols(views.symbols(spark, d), WORDS, churn=churn)
 
 
-@query("suggest_fuzzy", sql("""
-k AS (SELECT id, name, file, lower(name) AS low FROM s WHERE name IS NOT NULL),
-h AS (SELECT id, name, file, round(CASE WHEN low = 'resolv' THEN 4.0 WHEN starts_with(low, 'resolv') THEN 2.0 + 6 / length(name) WHEN levenshtein(low, 'resolv') <= 1 THEN 1.0 - levenshtein(low, 'resolv') / 6 END, 6) AS score FROM k)
-SELECT * FROM h WHERE score IS NOT NULL ORDER BY score DESC, name, file, id LIMIT 10"""))
+@query("suggest_fuzzy", sql(f"""
+k AS (SELECT id, name, file, lower(name) AS low, {_terms('name')} AS tn, {_terms('fqn')} AS tq FROM s WHERE name IS NOT NULL),
+h AS (SELECT id, name, file, round(greatest(
+  CASE WHEN low = 'resolv' THEN 4.0 WHEN starts_with(low, 'resolv') THEN 2.0 + 6 / length(name) WHEN levenshtein(low, 'resolv') <= 1 THEN 1.0 - levenshtein(low, 'resolv') / 6 ELSE 0 END,
+  2.0 * coalesce(list_max(list_transform(tn, lambda t: ({_weight('t', "'resolv'", 6)})::DOUBLE)), 0), coalesce(list_max(list_transform(tq, lambda t: ({_weight('t', "'resolv'", 6)})::DOUBLE)), 0)), 6) AS score FROM k)
+SELECT * FROM h WHERE score > 0 ORDER BY score DESC, name, file, id LIMIT 10"""))
 def suggest_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return search.suggest(views.symbols(spark, d), "resolv")
 
