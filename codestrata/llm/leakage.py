@@ -47,6 +47,7 @@ from codestrata.session import cut, load
 RUN, PASSAGE, EDITS_IN, SHINGLE = 12, 20, 5, 3
 SKETCH, LONGEST = 15, 39
 MOST_EDITS = LONGEST // EDITS_IN
+_U = np.uint64
 STRETCH = LONGEST + MOST_EDITS - SHINGLE + 1
 SURVIVE = PASSAGE - SHINGLE + 1 - SHINGLE * (PASSAGE // EDITS_IN)
 _WORD = re.compile(r"[^\W_]+(?:[-_'’]+[^\W_]+)*")
@@ -97,42 +98,60 @@ def signature(ws: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     return every, np.isin(every, sh[sorted(chosen)]), 2 if size == PASSAGE and len(every) == len(sh) else 1
 
 
-def has_run(a: list[str], b: list[str]) -> bool:
-    """Whether RUN consecutive words of ``a`` are in ``b``."""
-    runs = {tuple(a[i : i + RUN]) for i in range(len(a) - RUN + 1)}
-    return any(tuple(b[j : j + RUN]) in runs for j in range(len(b) - RUN + 1))
+def _ids(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Both texts as numbers of the words of ``a``; -1 for other words."""
+    ids = {w: k for k, w in enumerate(dict.fromkeys(a))}
+    return np.array([ids[w] for w in a], np.int64), np.array([ids.get(w, -1) for w in b], np.int64)
+
+
+def _common(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At which words of ``x`` and of ``y`` a run of ``n`` words starts that the other has."""
+    if len(x) < n or len(y) < n:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    sides = []
+    for z in (x, y):
+        h = np.zeros(len(z) - n + 1, np.uint64)
+        for k in range(n):
+            h = _mix(h * _U(3) + z[k : len(h) + k].view(np.uint64))
+        sides.append(h)
+    return np.isin(sides[0], sides[1]), np.isin(sides[1], sides[0])
+
 
+def has_run(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether RUN consecutive words of ``x`` are in ``y``."""
+    known = np.convolve(y >= 0, np.ones(RUN, np.int64)) if len(y) else np.zeros(1)
+    return bool((known >= RUN).any() and _common(x, y, RUN)[0].any())
 
-def close_passage(a: list[str], b: list[str]) -> bool:
-    """Whether some passage of at least PASSAGE words of ``a`` is in ``b`` with at most one edit per EDITS_IN words.
 
-    A passage of 40 words or more has a half that does as well, so those of 20 to 39 words decide.
+def close_passage(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether some passage of at least PASSAGE words of ``x`` is in ``y`` with at most one edit per EDITS_IN words.
+
+    A passage of 40 words or more has a half that does as well, so those of 20 to 39 words decide. Exact
+    shingle containment comes first: they keep SURVIVE common shingles within LONGEST words of ``x`` and
+    within STRETCH shingles of ``y``; only such places are aligned.
     """
-    if len(a) < PASSAGE or not b:
+    if len(x) < PASSAGE:
         return False
-    ids = {w: k for k, w in enumerate(dict.fromkeys(a))}
-    x = np.array([ids[w] for w in a])
-    y = np.array([ids.get(w, -1) for w in b])
-    least = PASSAGE - PASSAGE // EDITS_IN  # words of a passage that stay
-    # places of the text within reach of a stretch that holds enough of the item's words
-    inside = np.concatenate([[0], np.cumsum(y >= 0)])
-    width = LONGEST + MOST_EDITS
-    stop = np.minimum(np.arange(len(y)) + width, len(y))
-    rich = inside[stop] - inside[: len(y)] >= least
-    if not rich.any():
+    in_x, in_y = _common(x, y, SHINGLE)
+    if in_x.sum() < SURVIVE:
+        return False
+    total = np.concatenate([[0], np.cumsum(in_x)])
+    stop = np.minimum(np.arange(len(in_x)) + LONGEST - SHINGLE + 1, len(in_x))
+    starts = np.flatnonzero(total[stop] - total[:-1] >= SURVIVE)
+    starts = starts[starts <= len(x) - PASSAGE]
+    total = np.concatenate([[0], np.cumsum(in_y)])
+    stop = np.minimum(np.arange(len(in_y)) + STRETCH, len(in_y))
+    dense = np.flatnonzero(total[stop] - total[:-1] >= SURVIVE)
+    if not len(dense) or not len(starts):
         return False
     mark = np.zeros(len(y) + 1, np.int64)
-    at = np.flatnonzero(rich)
-    np.add.at(mark, at, 1)
-    np.add.at(mark, stop[at], -1)
-    open_ = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(mark[:-1]) > 0).astype(np.int64), [0]])))
-    known = np.concatenate([[0], np.cumsum(np.isin(x, y))])
-    for lo, hi in zip(open_[::2], open_[1::2]):
+    np.add.at(mark, dense, 1)
+    np.add.at(mark, np.minimum(dense + STRETCH + SHINGLE - 1, len(y)), -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(mark[:-1]) > 0).astype(np.int64), [0]])))
+    for lo, hi in zip(edge[::2], edge[1::2]):
         part = y[lo:hi]
         col = np.arange(len(part) + 1)
-        for start in range(len(x) - PASSAGE + 1):
-            if known[start + PASSAGE] - known[start] < least - MOST_EDITS:
-                continue
+        for start in starts:
             row = np.zeros(len(part) + 1, np.int64)
             for n, w in enumerate(x[start : start + LONGEST], 1):
                 up = row + 1
@@ -148,7 +167,8 @@ def close_passage(a: list[str], b: list[str]) -> bool:
 
 def leaks(item: list[str], doc: list[str]) -> bool:
     """Exact verification: RUN consecutive words, or a close passage."""
-    return has_run(item, doc) or close_passage(item, doc)
+    x, y = _ids(item, doc)
+    return has_run(x, y) or close_passage(x, y)
 
 
 def _signed(h: np.ndarray) -> np.ndarray:

@@ -82,8 +82,8 @@ def test_alignment_like_the_plain_model():
         for _ in range(60):
             a = [r.choice(vocab) for _ in range(r.randint(18, 45))]
             b = [r.choice(vocab) for _ in range(5)] + [w if r.random() > 0.17 else r.choice(vocab) for w in a if r.random() > 0.03] + [r.choice(vocab) for _ in range(5)]
-            assert L.close_passage(a, b) == edit_model(a, b)
-            assert L.has_run(a, b) == run_model(a, b)
+            assert L.close_passage(*L._ids(a, b)) == edit_model(a, b)
+            assert L.has_run(*L._ids(a, b)) == run_model(a, b)
 
 
 def test_signatures_lose_no_leak():
@@ -111,5 +111,5 @@ def test_long_texts_of_few_words_are_cheap():
     vocab = [f"w{i}" for i in range(30)]
     a, b = [r.choice(vocab) for _ in range(1600)], [r.choice(vocab) for _ in range(3000)]
     began = time.process_time()
-    L.close_passage(a, b)
+    L.close_passage(*L._ids(a, b))
     assert time.process_time() - began < 8
