@@ -108,19 +108,28 @@ def find_symbols(symbols: DataFrame, name: str, limit: int = 10, kind: str | Non
 def innermost(sites: DataFrame, spans: DataFrame, key: list[str], line: str = "line", nearest: bool = False, stretch: int = 64) -> DataFrame:
     """Each site (``key`` + file + line) with the smallest span of its file around it.
 
-    With ``nearest`` a site outside all spans gets the span that starts nearest.
+    With ``nearest`` a site outside all spans gets the span that starts nearest, of equally near ones the upper.
     """
     sp = spans.select(F.col("file").alias("_f"), F.col("id").alias("span_id"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    inside = (F.col(line) >= F.col("_a")) & (F.col(line) <= F.col("_b"))
-    if nearest:
-        j = sites.join(sp, F.col("file") == F.col("_f"))
-    else:
-        # spans meet sites per stretch of lines, so a file with very many of both isn't a product
-        sp = sp.where("_b >= _a").withColumn("_s", F.explode(F.sequence(F.floor(F.col("_a") / stretch), F.floor(F.col("_b") / stretch))))
-        j = sites.withColumn("_l", F.floor(F.col(line) / stretch)).join(sp, (F.col("file") == F.col("_f")) & (F.col("_l") == F.col("_s"))).where(inside)
-    cost = F.when(inside, F.col("_b") - F.col("_a")).otherwise(F.abs(F.col(line) - F.col("_a")))
-    best = F.min(F.struct((~inside).cast("int").alias("o"), cost.alias("cost"), F.col("_a").alias("a"), "span_id")).alias("m")
-    return j.groupBy(*key).agg(best).select(*key, "m.span_id")
+    # spans meet sites per stretch of lines, so a file with very many of both isn't a product
+    cells = sp.where("_b >= _a").withColumn("_s", F.explode(F.sequence(F.floor(F.col("_a") / stretch), F.floor(F.col("_b") / stretch))))
+    j = sites.withColumn("_l", F.floor(F.col(line) / stretch)).join(cells, (F.col("file") == F.col("_f")) & (F.col("_l") == F.col("_s")))
+    j = j.where((F.col(line) >= F.col("_a")) & (F.col(line) <= F.col("_b")))
+    got = j.groupBy(*key).agg(F.min(F.struct((F.col("_b") - F.col("_a")).alias("cost"), F.col("_a").alias("a"), "span_id")).alias("m")).select(*key, "m.span_id")
+    if not nearest:
+        return got
+    # one pass down and one up the lines of a file: the last start before a site and the first after it
+    starts = sp.where("_a is not null").groupBy(F.col("_f").alias("file"), F.col("_a").alias("_at")).agg(F.min("span_id").alias("span_id"))
+    rest = sites.where(F.col(line).isNotNull()).join(got.select(*key), key, "left_anti")
+    both = rest.select(*key, "file", F.col(line).alias("_at"), F.lit(1).alias("_site"), F.lit(None).cast("string").alias("span_id")).unionByName(
+        starts.select(*[F.lit(None).cast(sites.schema[k].dataType).alias(k) for k in key if k != "file"], "file", "_at", F.lit(0).alias("_site"), "span_id")
+    )
+    mark = F.when(F.col("_site") == 0, F.struct(F.col("_at").alias("a"), "span_id"))
+    seen = lambda *order: F.last(mark, ignorenulls=True).over(W.partitionBy("file").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("_up", seen("_at", "_site")).withColumn("_down", seen(F.desc("_at"), "_site")).where("_site = 1")
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_at") - F.col(f"{c}.a")).alias("d"), F.col(f"{c}.a").alias("a"), F.col(f"{c}.span_id").alias("span_id")))
+    near = both.withColumn("m", F.least(away("_up"), away("_down"))).where("m is not null").groupBy(*key).agg(F.min("m").alias("m"))
+    return got.unionByName(near.select(*key, "m.span_id"))
 
 
 def with_class(symbols: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.plans.views import NON_CALLABLE_KINDS, class_of, dirname
-from codestrata.session import cut
+from codestrata.session import cut, cut_all
 
 SHORT_NAME = 4
 OPAQUE = "()"
@@ -126,27 +126,26 @@ class Scoped:
 
     def __init__(self, refs: DataFrame, symbols: DataFrame, bindings: DataFrame, files: DataFrame):
         self._split = None
-        refs, files, bindings = cut(refs), cut(files), cut(bindings)
-        self.refs, self.files, self.bindings = refs, files, bindings
         t = symbols.where("name is not null")
-        self.symbols = cut(t.select(
+        t = t.select(
             "id", "name", "kind", "file", "language", F.coalesce("exported", F.lit(False)).alias("exported"), class_of(F.col("fqn")).isNotNull().alias("member"), "start_line",
             dirname(F.col("file")).alias("dir"), (~F.col("kind").isin(*NON_CALLABLE_KINDS)).alias("bare_ok"),
-        ))
+        )
+        self.refs, self.files, self.bindings, self.symbols = refs, files, bindings, _ = cut_all(refs, files, bindings, t)
         self.targets = cut(import_targets(bindings, files))
         lang = files.select(F.col("path").alias("_lp"), F.col("language").alias("file_language"))
         u = refs.where(F.col("target_id").isNull() & (F.char_length("target_name") >= SHORT_NAME)).join(lang, F.col("file") == F.col("_lp"), "left").drop("_lp")
         u = u.withColumn("dir", dirname(F.col("file")))
         bare = u.where("receiver is null")
         any_, adm = bare_scopes(bare.select("file", F.col("target_name").alias("call")).distinct(), bindings, self.targets, files)
-        self.admitted = cut(adm)
         flag = any_.select("file", F.col("call").alias("target_name"), F.lit(True).alias("open"))
-        self.bare = cut(bare.join(flag, ["file", "target_name"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
+        bare = bare.join(flag, ["file", "target_name"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         member = u.where("receiver is not null and not coalesce(self_receiver, false)")
-        self.member = cut(member.join(member_scopes(member.select("file", "receiver").distinct(), bindings, self.targets, files), ["file", "receiver"], "left"))
+        member = member.join(member_scopes(member.select("file", "receiver").distinct(), bindings, self.targets, files), ["file", "receiver"], "left")
         ren = bindings.where(renaming() & ~wildcard()).select("file", F.col("alias").alias("target_name"), "source_module", F.col("name").alias("export")).join(self.targets, ["file", "source_module"], "left")
         a = refs.where("receiver is null").join(ren.drop("source_module"), ["file", "target_name"]).join(files.select(F.col("path").alias("_p")), F.col("file") == F.col("_p"), "left_semi")
-        self.alias = cut(a.select("ref_id", "source_id", "target_id", "file", "line", "export", F.col("target").alias("to")).distinct())
+        alias = a.select("ref_id", "source_id", "target_id", "file", "line", "export", F.col("target").alias("to")).distinct()
+        self.admitted, self.bare, self.member, self.alias = cut_all(adm, bare, member, alias)
 
     def fan_in(self) -> DataFrame:
         """(id, callers): call sites per symbol; symbols without any are left out.

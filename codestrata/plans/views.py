@@ -55,8 +55,12 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
     one = raw.groupBy("ref_id").agg(*[F.max(c).alias(c) for c in raw.columns if c != "ref_id"])
     where = symbols(spark, d).select("id", "file")
     src, dst = where.toDF("sid", "sfile"), where.toDF("tid", "tfile")
+
+    def spread(c):  # most endpoints are null: each gets a key of its own that no id has, so they do not meet in one task
+        return F.coalesce(F.col(c), F.concat(F.lit("\0"), F.col("ref_id").cast("string")))
+
     return (
-        one.join(src, F.col("source_id") == F.col("sid"), "left").join(dst, F.col("target_id") == F.col("tid"), "left")
+        one.join(src, spread("source_id") == F.col("sid"), "left").join(dst, spread("target_id") == F.col("tid"), "left")
         .withColumn("source_id", F.when(F.col("sfile") == F.col("file"), F.col("source_id")))
         .withColumn("target_id", F.when(F.col("tfile") == F.col("file"), F.col("target_id")))
         .drop("sid", "sfile", "tid", "tfile")

@@ -1,12 +1,15 @@
-"""Session helpers: table access, lineage cuts and bounded broadcasts."""
+"""Session helpers: table access and lineage cuts."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +20,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, is a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session, as in tests, gets a
+    temporary folder where that is unset; it is removed when the process ends.
     """
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
     if here:
         return here
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codestrata-"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="codestrata-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -35,14 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
-    """Hint a broadcast only when the estimate is below ``limit_bytes``; else a shuffle join."""
-    return F.broadcast(df) if plan_bytes(df) <= limit_bytes else df
+def cut_all(*dfs: DataFrame) -> list[DataFrame]:
+    """:func:`cut` of several tables that do not depend on each other, side by side."""
+    ensure_checkpoint_dir(dfs[0].sparkSession)
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(inheritable_thread_target(dfs[0].sparkSession)(lambda df: df.checkpoint(eager=True)), dfs))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,25 +19,39 @@ def quiet_batches(events: DataFrame, group: list[str], ts: str, key: str, gap: s
 def deadline_batches(events: DataFrame, group: str, ts: str, key: str, gap_s: float, max_s: float) -> DataFrame:
     """Batches that end after ``gap_s`` of quiet or ``max_s`` after their first event, whichever is first.
 
-    Quiet gaps are found with windows; inside a quiet run only, deadlines are a fold over
-    the run's own events.
+    Events go past in order, a group after the other, and only the open batch is kept: nothing
+    is collected, and a group of any length is one pass. A null key counts as no key.
     """
-    w = W.partitionBy(group).orderBy(ts)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    fresh = F.when(t - F.lag(t).over(w) <= int(gap_s * 1e6), 0).otherwise(1)
-    runs = events.where(F.col(ts).isNotNull()).withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rangeBetween(W.unboundedPreceding, 0)))
-    runs = runs.groupBy(group, "_run").agg(F.sort_array(F.collect_list(F.struct(t.alias("t"), F.col(key).cast("string").alias("k")))).alias("e"))
-    kind = "array<struct<first:bigint,last:bigint,events:bigint,keys:array<string>>>"
+    gap, most = int(gap_s * 1e6), int(max_s * 1e6)
+    kind = events.schema[group].dataType.simpleString()
+    e = events.where(F.col(ts).isNotNull()).select(F.col(group).alias("grp"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(key).cast("string").alias("k"))
+
+    def run(batches):
+        here = first = last = None
+        n, keys = 0, set()
+        for b in batches:
+            done = []
+            for g, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if n and (g != here or t - last > gap or t - first > most):
+                    done.append((here, first, last, n, len(keys)))
+                    n, keys = 0, set()
+                if not n:
+                    here, first = g, t
+                last, n = t, n + 1
+                if k is not None:
+                    keys.add(k)
+            if done:
+                yield _closed(done, b.column(0).type)
+        if n:
+            yield _closed([(here, first, last, n, len(keys))], b.column(0).type)
+
+    out = e.repartition("grp").sortWithinPartitions("grp", "t").mapInArrow(run, f"grp {kind}, first bigint, last bigint, events bigint, keys int")
+    return out.select(F.col("grp").alias(group), F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("last_ts"), "events", "keys")
 
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        opened = F.struct(x["t"].alias("first"), x["t"].alias("last"), F.lit(1).cast("bigint").alias("events"), F.array(x["k"]).alias("keys"))
-        grown = F.struct(last["first"].alias("first"), x["t"].alias("last"), (last["events"] + 1).alias("events"), F.array_union(last["keys"], F.array(x["k"])).alias("keys"))
-        join = (F.size(acc) > 0) & (x["t"] - last["first"] <= int(max_s * 1e6))
-        return F.when(join, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(opened)))
 
-    out = runs.select(group, F.explode(F.aggregate("e", F.array().cast(kind), step)).alias("b"))
-    return out.select(group, F.timestamp_micros("b.first").alias("first_ts"), F.timestamp_micros("b.last").alias("last_ts"), F.col("b.events").alias("events"), F.size("b.keys").alias("keys"))
+def _closed(rows, kind):
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.int32())], names=["grp", "first", "last", "events", "keys"])
 
 
 def debounce_stream(events: DataFrame, group: str, ts: str, key: str, gap_s: float = 0.1, max_s: float = 1.0) -> DataFrame:
@@ -51,8 +66,8 @@ def debounce_stream(events: DataFrame, group: str, ts: str, key: str, gap_s: flo
     gap, most = int(gap_s * 1000), int(max_s * 1000)
 
     def run(name, frames, state):
-        first, last, n, keys = state.get if state.exists else (None, None, 0, "")
-        seen = set(keys.split("\x1f")) if keys else set()
+        first, last, n, keys = state.get if state.exists else (None, None, 0, [])
+        seen = set(keys or [])
         done = []
 
         def flush():
@@ -70,10 +85,10 @@ def debounce_stream(events: DataFrame, group: str, ts: str, key: str, gap_s: flo
                 first = t if first is None else first
                 last, n = t, n + 1
                 seen.add(k)
-            state.update((first, last, n, "\x1f".join(sorted(seen))))
+            state.update((first, last, n, sorted(seen)))
             state.setTimeoutTimestamp(max(min(last + gap, first + most) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=["grp", "first_ms", "last_ms", "events", "keys"])
 
     return events.groupBy(group).applyInPandasWithState(
-        run, f"grp {kind}, first_ms long, last_ms long, events long, keys long", "first long, last long, n long, keys string", "append", GroupStateTimeout.EventTimeTimeout
+        run, f"grp {kind}, first_ms long, last_ms long, events long, keys long", "first long, last long, n long, keys array<string>", "append", GroupStateTimeout.EventTimeTimeout
     )
