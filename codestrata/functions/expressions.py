@@ -36,3 +36,9 @@ def cyclomatic(code):
     """1 + decisions, outside strings and comments; null where trivial, at most 999."""
     n = F.least(F.lit(999), 1 + F.regexp_count(F.regexp_replace(code, _NOISE, " "), F.lit(DECISIONS)))
     return F.when(n > 1, n)
+
+
+def complexity_label(cyclomatic, cognitive):
+    """``cyc N / cog M`` without what is not known; null where neither is."""
+    label = F.concat_ws(" / ", F.concat(F.lit("cyc "), cyclomatic.cast("string")), F.concat(F.lit("cog "), cognitive.cast("string")))
+    return F.when(label != "", label)

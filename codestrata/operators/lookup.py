@@ -97,6 +97,34 @@ def normalize_path(path: str) -> str | None:
     return None if p == ".." or p.startswith("../") else p
 
 
+def normalize_scope(scopes: DataFrame, files: DataFrame, column: str = "scope") -> DataFrame:
+    """``scopes`` with ``normal``: a file of the index or a path that ends in ``/`` as it is, else a folder; null and empty stay null."""
+    known = files.select(F.col("path").alias("_p")).distinct()
+    c = F.col(column)
+    normal = F.when(c.isNull() | (c == ""), None).when(c.endswith("/") | F.col("_p").isNotNull(), c).otherwise(F.concat(c, F.lit("/")))
+    return scopes.join(known, c == F.col("_p"), "left").withColumn("normal", normal).drop("_p")
+
+
+#: ``file[:symbol[:line]]``: the file ends at the first colon after its last separator.
+ANCHOR_FILE, ANCHOR_TAIL = r"(?s)^((?:.*[/\\])?[^:/\\]*)(?::.*)?$", r"(?s)^(?:.*[/\\])?[^:/\\]*:(.*)$"
+
+
+def parse_anchor(raw) -> dict:
+    """Columns file, symbol and line of an anchor column.
+
+    A trailing number is a line; of two (``file:line:column``) the first. ``:0`` is no line. A blank anchor has no file.
+    """
+    bare = lambda c: F.regexp_replace(c, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    t = bare(raw)
+    tail, last = F.regexp_extract(t, ANCHOR_TAIL, 1), r"(?s)^(.*):(\d+)$"
+    end, rest = F.regexp_extract(tail, last, 2), F.when(tail.rlike(last), F.regexp_extract(tail, last, 1)).otherwise(tail)
+    number = lambda c: F.when(c.rlike("^\\d{1,9}$") & (c.cast("int") >= 1), c.cast("int"))
+    is_line = rest.rlike("^\\d+$")
+    symbol = bare(F.when(is_line, "").otherwise(rest))
+    file = bare(F.regexp_extract(t, ANCHOR_FILE, 1))
+    return {"file": F.when(t != "", file), "symbol": F.when(symbol != "", symbol), "line": F.coalesce(F.when(is_line, number(rest)), number(end))}
+
+
 def find_symbols(symbols: DataFrame, name: str, limit: int = 10, kind: str | None = None, scope: str | None = None) -> DataFrame:
     """Exact matches first, filled up by case-insensitive prefix matches; (exported, depth, file, name, line) order."""
     hit = in_scope(symbols, kind, scope).where(F.startswith(F.lower("name"), F.lit(name.lower())))

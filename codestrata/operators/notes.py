@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEVERITY = ("fresh", "unverified", "stale", "missing")
@@ -34,6 +36,28 @@ def note_verdicts(notes: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.get(names, F.coalesce("_r", F.lit(1)))).withColumn("anchor_count", F.coalesce("_k", F.lit(0))).drop("_n", "_r", "_k")
 
 
+def suspect_notes(verdicts: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, suspects, suspects_in_all): notes with a stale or missing anchor on each file of ``files`` (path), and on all together, each once."""
+    v = verdicts.where(F.col("verdict").isin("stale", "missing")).join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    all_ = v.agg(F.count_distinct("note_id").alias("suspects_in_all"))
+    return v.groupBy("file").agg(F.count_distinct("note_id").alias("suspects")).crossJoin(F.broadcast(all_))
+
+
+def notes_of_context(notes: DataFrame, anchors: DataFrame, targets: DataFrame, shown: int = 3) -> DataFrame:
+    """(target_id, note_id, place, omitted) of each target (target_id, file, name): notes on the symbol, then on the file, newest first.
+
+    A note with several anchors counts once, by its best; ``omitted`` is how many are not shown.
+    """
+    simple = F.element_at(F.split("symbol", "[.#:]+"), -1)
+    a = anchors.select(F.col("file").alias("_f"), simple.alias("_s"), "note_id")
+    j = targets.select("target_id", "file", "name").join(a, (F.col("file") == F.col("_f")) & (F.col("_s").isNull() | (F.col("_s") == F.col("name"))))
+    j = j.groupBy("target_id", "note_id").agg(F.min(F.when(F.col("_s").isNull(), 1).otherwise(0)).alias("level"))
+    j = j.join(notes.select(F.col("id").alias("note_id"), "created_at"), "note_id")
+    w = W.partitionBy("target_id")
+    j = j.withColumn("place", F.row_number().over(w.orderBy("level", F.desc("created_at"), "note_id"))).withColumn("omitted", F.greatest(F.count("*").over(w) - shown, F.lit(0)))
+    return j.where(F.col("place") <= shown).select("target_id", "note_id", "level", "place", "omitted")
+
+
 def knowledge_counts(notes: DataFrame, anchors: DataFrame) -> DataFrame:
     a = anchors.groupBy("note_id").agg(F.count("*").alias("n"))
     n = notes.join(a, F.col("id") == F.col("note_id"), "left").agg(F.count_if(F.col("n").isNotNull()).alias("anchored"), F.count_if(F.col("n").isNull()).alias("unanchored"))
@@ -78,11 +102,34 @@ class NoteStore:
         return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._path(f"{n}/_SUCCESS")))
 
     def read(self) -> DataFrame | None:
+        """The newest version that can be read; one that is damaged or foreign is put aside under ``.bad-``."""
+        for v in reversed(self.versions()):
+            df, state = self._open(v)
+            if state != "damaged":
+                return df
+            self._fs.rename(self._path(f"v{v}"), self._path(f".bad-v{v}-{uuid.uuid4().hex[:8]}"))
+        return None
+
+    def _open(self, v: int) -> tuple[DataFrame | None, str]:
+        """(table, ``ok``, ``newer`` or ``damaged``) of a version."""
+        try:
+            df = self.spark.read.parquet(f"{self.root}/v{v}")
+            if not {"id", "text", "created_at", "anchors", "schema_version"} <= set(df.columns):
+                return None, "damaged"
+            top = df.agg(F.max("schema_version")).first()[0]
+        except (AnalysisException, PySparkException):
+            return None, "damaged"
+        return df, "newer" if (top or 0) > self.VERSION else "ok"
+
+    def read_only(self) -> bool:
+        """Whether the newest version was written by a later release: it may be read, not replaced."""
         v = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v{v[-1]}") if v else None
+        return bool(v) and self._open(v[-1])[1] == "newer"
 
     def write(self, df: DataFrame) -> int:
         """A new version: written aside, then renamed, so a reader never sees half of it."""
+        if self.read_only():
+            raise PermissionError("these notes were written by a later release")
         v = (self.versions() or [0])[-1] + 1
         aside = f".tmp-{uuid.uuid4().hex}"
         df.withColumn("schema_version", F.lit(self.VERSION)).write.parquet(f"{self.root}/{aside}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import graph, resolve
+from codestrata.operators import graph, resolve, rules
 from codestrata.plans import views
 from codestrata.plans.catalog import query
 from codestrata.plans.views import sql
@@ -247,6 +247,27 @@ def same_file_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_same_file(views.refs(spark, d).where("kind = 'calls'"), views.symbols(spark, d)).select("ref_id", "resolved_id")
 
 
+@query("language_rules_resolution", sql(rules.rules_as_values() + f""",
+x AS (SELECT s.*, nullif(regexp_extract(fqn, '^[^:]*:([^.]+)\\.', 1), '') AS cls, ru.own_class, ru.bare_kinds, ru.made_kinds, ru.type_kinds, ru.once_only FROM s LEFT JOIN f ON f.path = s.file LEFT JOIN ru ON ru.language = f.language WHERE name IS NOT NULL),
+ty AS (SELECT file, name FROM x WHERE list_contains(type_kinds, kind) GROUP BY ALL HAVING count(*) > 1),
+tw AS (SELECT file, name FROM x WHERE once_only AND kind = 'function' GROUP BY ALL HAVING count(*) > 1),
+ba AS (SELECT file, name, arg_min(id, (start_line, id)) AS bare_id FROM x WHERE list_contains(coalesce(bare_kinds, {rules._DEFAULT.split()}), kind) AND (file, name) NOT IN (SELECT (file, name) FROM tw) GROUP BY ALL),
+ma AS (SELECT file, name, arg_min(id, (start_line, id)) AS made_id FROM x WHERE list_contains(made_kinds, kind) AND (file, name) NOT IN (SELECT (file, name) FROM ty) GROUP BY ALL),
+me AS (SELECT file, cls, name, arg_min(id, (start_line, id)) AS method_id FROM x WHERE kind = 'method' AND cls IS NOT NULL AND (file, cls) NOT IN (SELECT (file, name) FROM ty) GROUP BY ALL),
+q AS (SELECT r.*, coalesce(f.language = 'java' AND receiver IS NULL AND regexp_matches(target_name, '^[A-Z]'), false) AS is_new, ru.own_class, ru.ignored,
+  CASE WHEN coalesce(self_receiver, false) OR (receiver IS NULL AND coalesce(ru.own_class, false)) THEN c.cls ELSE receiver END AS owner
+  FROM r LEFT JOIN f ON f.path = r.file LEFT JOIN ru ON ru.language = f.language LEFT JOIN x c ON c.id = source_id WHERE r.kind = 'calls'),
+z AS (SELECT ref_id, CASE WHEN receiver IS NOT NULL THEN method_id WHEN is_new THEN made_id ELSE coalesce(method_id, bare_id) END AS resolved_id, receiver IS NULL AND NOT is_new AND coalesce(list_contains(ignored, target_name), false) AS noise
+  FROM q LEFT JOIN ba ON ba.file = q.file AND ba.name = target_name LEFT JOIN ma ON ma.file = q.file AND ma.name = target_name LEFT JOIN me ON me.file = q.file AND me.cls = owner AND me.name = target_name)
+SELECT ref_id, resolved_id FROM z WHERE resolved_id IS NOT NULL OR NOT noise"""))
+def language_rules_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Same-file resolution by each language's rules; in Java a bare callee with a capital is taken for a construction."""
+    f = views.files(spark, d)
+    r = views.refs(spark, d).where("kind = 'calls'").join(f.select(F.col("path").alias("_p"), F.col("language").alias("_l")), F.col("file") == F.col("_p"), "left")
+    r = r.withColumn("is_new", F.coalesce((F.col("_l") == "java") & F.col("receiver").isNull() & F.col("target_name").rlike("^[A-Z]"), F.lit(False))).drop("_p", "_l")
+    return rules.resolve_by_rules(r, views.symbols(spark, d), f)
+
+
 @query("resolved_target_kinds", sql("SELECT coalesce(s.language, 'unknown') AS language, s.kind, count(*) AS calls, count(DISTINCT target_id) AS targets FROM r JOIN s ON s.id = target_id GROUP BY ALL"))
 def resolved_target_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Ground truth: resolved calls by the language and kind of what they reach."""

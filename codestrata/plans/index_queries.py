@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codestrata.functions import expressions as X
 from codestrata.operators import history, lookup, maintain
 from codestrata.plans import views
 from codestrata.plans.catalog import query
@@ -261,3 +262,37 @@ def seeded_selection(spark: SparkSession, d: str) -> DataFrame:
     """A repeatable selection of inputs for spot checks: the order is a hash of id and seed."""
     s = views.symbols(spark, d).where("name is not null and kind in ('function', 'method')")
     return s.orderBy(F.md5(F.concat("id", F.lit("-7"))), "id").limit(50).select("id", "name", "file")
+
+
+@query("scope_normalised", sql("""
+sc AS (SELECT path AS scope FROM f UNION SELECT regexp_replace(path, '/?[^/]*$', '') FROM f UNION SELECT regexp_replace(path, '/?[^/]*$', '') || '/' FROM f)
+SELECT scope, CASE WHEN scope = '' THEN NULL WHEN ends_with(scope, '/') OR scope IN (SELECT path FROM f) THEN scope ELSE scope || '/' END AS normal FROM sc"""))
+def scope_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Every path, folder and folder with a slash as a scope."""
+    f = views.files(spark, d)
+    folder = views.dirname(F.col("path"))
+    scopes = f.select(F.col("path").alias("scope")).union(f.select(folder)).union(f.select(F.concat(folder, F.lit("/")))).distinct()
+    return lookup.normalize_scope(scopes, f).select("scope", "normal")
+
+
+#: What an anchor cannot spell: separators or colons in the name, a name that is a number.
+_SPELT = "file IS NOT NULL AND name IS NOT NULL AND start_line IS NOT NULL AND instr(file, ':') = 0 AND instr(name, ':') = 0 AND instr(name, '/') = 0 AND instr(name, chr(92)) = 0"
+
+
+@query("anchors_parsed", sql(rf"""
+k AS (SELECT id, start_line % 7 AS n, file, nullif(regexp_replace(name, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '') AS name, start_line AS l FROM s WHERE {_SPELT} AND NOT regexp_full_match(name, '[\s\d]*\d[\s\d]*'))
+SELECT id, file, CASE WHEN n IN (1, 2, 6) THEN name END AS symbol, (CASE WHEN n IN (2, 3, 4) AND l >= 1 THEN l END)::INT AS line FROM k"""))
+def anchors_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors written in each accepted form, by start line: file, file:symbol, file:symbol:line, file:line, file:line:column, with blanks around, file:symbol:0."""
+    s = views.symbols(spark, d).where(_SPELT).where(~F.col("name").rlike(r"^[\s\d]*\d[\s\d]*$"))
+    n, line = F.col("start_line") % 7, F.col("start_line").cast("string")
+    tail = F.when(n == 1, F.concat(F.lit(":"), "name")).when(n == 2, F.concat(F.lit(":"), "name", F.lit(":"), line)).when(n == 3, F.concat(F.lit(":"), line)).when(n == 4, F.concat(F.lit(":"), line, F.lit(":9")))
+    tail = tail.when(n == 6, F.concat(F.lit(":"), "name", F.lit(":0"))).otherwise("")
+    raw = F.when(n == 5, F.concat(F.lit("  "), "file", F.lit(" "))).otherwise(F.concat("file", tail))
+    return s.select("id", *[c.alias(k) for k, c in lookup.parse_anchor(raw).items()])
+
+
+@query("complexity_labels", sql("""
+SELECT id, CASE WHEN complexity IS NULL AND cognitive IS NULL THEN NULL ELSE concat_ws(' / ', 'cyc ' || complexity, 'cog ' || cognitive) END AS label FROM s"""))
+def complexity_labels(spark: SparkSession, d: str) -> DataFrame:
+    return views.symbols(spark, d).select("id", X.complexity_label(F.col("complexity"), F.col("cognitive")).alias("label"))

@@ -127,6 +127,25 @@ def knowledge_counts(spark: SparkSession, d: str) -> DataFrame:
     return notes.knowledge_counts(*sample_notes(spark, d))
 
 
+@query("suspect_notes", sql(_NOTES + """, sv AS (SELECT * FROM vd WHERE verdict IN ('stale', 'missing') AND file IN (SELECT path FROM f))
+SELECT file, count(DISTINCT note_id) AS suspects, (SELECT count(DISTINCT note_id) FROM sv) AS suspects_in_all FROM sv GROUP BY file"""))
+def suspect_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes on each file whose anchors no longer hold, and on all files together."""
+    _, a = sample_notes(spark, d)
+    f = views.files(spark, d)
+    return notes.suspect_notes(notes.anchor_verdicts(a, f, views.symbols(spark, d)), f)
+
+
+@query("notes_of_context", sql(_NOTES + """,
+lv AS (SELECT s.id AS target_id, note_id, min(CASE WHEN symbol IS NULL THEN 1 ELSE 0 END)::INT AS level FROM s JOIN an ON an.file = s.file AND (symbol IS NULL OR regexp_extract(symbol, '[^.#:]*$') = s.name) WHERE s.name IS NOT NULL GROUP BY ALL),
+rk AS (SELECT lv.*, row_number() OVER (PARTITION BY target_id ORDER BY level, created_at DESC NULLS LAST, note_id)::INT AS place, greatest(count(*) OVER (PARTITION BY target_id) - 3, 0)::BIGINT AS omitted FROM lv JOIN nt ON nt.id = note_id)
+SELECT * FROM rk WHERE place <= 3"""))
+def notes_of_context(spark: SparkSession, d: str) -> DataFrame:
+    """The notes shown with each symbol."""
+    n, a = sample_notes(spark, d)
+    return notes.notes_of_context(n, a, views.symbols(spark, d).where("name is not null").select(F.col("id").alias("target_id"), "file", "name"))
+
+
 @query("note_keyword_rank", sql(_NOTES + """,
 x AS (SELECT id, text, created_at, coalesce(an.file || ' ' || symbol, '') AS anc FROM nt LEFT JOIN an ON note_id = id),
 y AS (SELECT id, created_at, """ + " + ".join(f"CASE WHEN contains(lower(anc), '{w}') THEN 2 WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in WORDS) + """ AS score FROM x)
