@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import lookup, maintain
+from codestrata.session import cut
 
 #: Defaults of a project's configuration.
 DEFAULT_EXCLUDES = ("node_modules", ".git", "dist", "build", "vendor", "target", "__pycache__")
@@ -54,34 +58,88 @@ def load_config(root: str, env: dict | None = None, overrides: dict | None = Non
     return out
 
 
-def scan(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
-    """(path, language, size, last_modified, content_hash, content) of the files of a tree.
-
-    Excluded folders are filtered on the path before a byte is read. Files of a known
-    language take the slots under ``max_files`` first, shallow ones before deep ones; the
-    cap is a limit of the project, not a safeguard against size.
+def relative(path, root: str):
+    """A column of full paths or URIs, relative to ``root``."""
+    base = (os.path.realpath(root) if "://" not in root else root).rstrip("/") + "/"
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.regexp_replace(F.when(path.startswith("file:"), F.expr("url_decode(replace(path, '+', '%2B'))")).otherwise(plain), "^.*?" + re.escape(base), "")
+
+
+def _walk(root: str, exclude: list[str]):
+    """((path, length, time in ms) of each file, complete) of a local tree; links and excluded folders are not entered."""
+    skip, out, complete, todo = re.compile(lookup.exclude_regex(exclude)), [], True, [""]
+    while todo:
+        at = todo.pop()
+        try:
+            with os.scandir(os.path.join(root, at)) as entries:
+                for e in entries:
+                    rel = f"{at}/{e.name}" if at else e.name
+                    if e.is_symlink() or skip.match(rel):
+                        continue
+                    if e.is_dir():
+                        todo.append(rel)
+                    elif e.is_file():
+                        s = e.stat()
+                        out.append((rel, s.st_size, s.st_mtime_ns / 1e6))
+        except OSError:
+            complete = False
+    return out, complete
+
+
+def listing(spark: SparkSession, root: str, config: Config | None = None) -> tuple[DataFrame, bool]:
+    """((path, size, last_modified, language) of the files that a scan takes, complete): no file is read.
+
+    Files of a known language take the slots under ``max_files`` first, shallow ones before deep
+    ones; the cap is a limit of the project, not a safeguard against size. A local tree is walked by
+    the driver, as it may be on the driver's disk only; another file system is listed by Spark. ``complete`` is
+    false where a folder could not be read: what is missing then may still be there.
     """
     config = config or Config()
-    base = os.path.realpath(root) if "://" not in root else root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    prefix = base.rstrip("/") + "/"
-    rel = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), "^.*?" + __import__("re").escape(prefix), "")
-    f = raw.withColumn("rel", rel).where(F.col("length") <= config.max_bytes)
-    f = f.where(~lookup.excluded(F.col("rel"), list(config.exclude)))
-    head = F.substring("content", 1, 8192)
-    f = f.withColumn("language", lookup.detect_language(F.col("rel")))
-    f = f.where((F.col("language") != "unknown") | (F.instr(F.hex(head), "00") == 0) | ~F.hex(head).rlike("^(..)*00"))
-    text = F.decode("content", "UTF-8")
-    f = f.withColumn("text", F.when(F.col("language") != "unknown", text))
-    f = f.withColumn("language", lookup.refine_header(F.col("language"), F.col("rel"), F.coalesce("text", F.lit(""))))
+    if "://" in root:
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000.0).alias("last_modified"))
+        f, complete = f.where(~lookup.excluded(F.col("path"), list(config.exclude))), True
+    else:
+        rows, complete = _walk(os.path.realpath(root), list(config.exclude))
+        f = spark.createDataFrame(rows, "path string, size long, last_modified double")
+    f = f.where(F.col("size") <= config.max_bytes).withColumn("language", lookup.detect_language(F.col("path")))
     if config.languages:
         f = f.where(F.col("language").isin(*config.languages, "unknown"))
-    out = f.select(
-        F.col("rel").alias("path"), "language", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000.0).alias("last_modified"),
-        maintain.content_hash(F.col("content")).alias("content_hash"), F.col("text").alias("content"),
-    )
     order = [(F.col("language") == "unknown").cast("int"), F.size(F.split("path", "/")), F.col("path")]
-    return out.orderBy(*order).limit(config.max_files)
+    return f.orderBy(*order).limit(config.max_files), complete
+
+
+def read_files(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
+    """``found`` (path, size, last_modified, language) with ``data``, read by the workers; what cannot be read is left out."""
+    base = (os.path.realpath(root) if "://" not in root else root).rstrip("/")
+
+    def read(batches):
+        for b in batches:
+            fs, top = FileSystem.from_uri(base) if "://" in base else (LocalFileSystem(), base)
+            data = []
+            for p in b.column(0).to_pylist():
+                try:
+                    with fs.open_input_stream(f"{top}/{p}") as f:
+                        data.append(f.read())
+                except OSError:
+                    data.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], names=[*b.schema.names, "data"])
+
+    f = cut(found.select("path", "size", "last_modified", "language")).repartition("path")
+    return f.mapInArrow(read, "path string, size long, last_modified double, language string, data binary").where("data is not null")
+
+
+def scan(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """(path, language, size, last_modified, content_hash, content) of the files of a tree, see :func:`listing`.
+
+    Only the files that the listing keeps are opened; of those of no known language the first 8 KiB tell binary ones.
+    """
+    config = config or Config()
+    f = read_files(spark, root, listing(spark, root, config)[0])
+    known = F.col("language") != "unknown"
+    f = f.where(known | ~F.hex(F.substring("data", 1, 8192)).rlike("^(..)*00"))
+    f = f.withColumn("content", F.when(known, F.decode("data", "UTF-8")))
+    f = f.withColumn("language", lookup.refine_header(F.col("language"), F.col("path"), F.coalesce("content", F.lit(""))))
+    return f.select("path", "language", "size", "last_modified", maintain.content_hash(F.col("data")).alias("content_hash"), "content")
 
 
 def package_entries(text: str) -> list[str]:

@@ -1,4 +1,6 @@
+import os
 import subprocess
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import extract, history
 from codestrata.sources import git, scan, store
-from codestrata.streaming import debounce, refresh
+from codestrata.streaming import debounce, refresh, watch
 
 
 def test_scan(spark, tmp_path):
@@ -19,7 +21,15 @@ def test_scan(spark, tmp_path):
     got = {r.path: r.language for r in rows}
     assert got == {"a.ts": "typescript", "src/b.py": "python", "src/deep/c.go": "go", "read me.md": "unknown", "h.h": "objc"}
     assert next(r for r in rows if r.path == "src/b.py").content == "x = 1"
-    assert [r.path for r in scan.scan(spark, str(tmp_path), scan.Config(max_files=2)).collect()] == ["a.ts", "big.ts"]
+    assert {r.path for r in scan.scan(spark, str(tmp_path), scan.Config(max_files=2)).collect()} == {"a.ts", "big.ts"}
+    (tmp_path / "link.ts").symlink_to(tmp_path / "a.ts")
+    (tmp_path / "loop").symlink_to(tmp_path / "src")
+    found, complete = scan.listing(spark, str(tmp_path), scan.Config(max_bytes=2000))
+    assert complete and {r.path for r in found.collect()} == {"a.ts", "src/b.py", "src/deep/c.go", "read me.md", "h.h", "bin.dat"}
+    (tmp_path / "shut").mkdir(mode=0o000)
+    if os.getuid():
+        assert not scan.listing(spark, str(tmp_path))[1]
+    (tmp_path / "shut").chmod(0o700)
     assert scan.read_text(str(tmp_path), "a.ts") == "let a" and scan.read_text(str(tmp_path), "../x") is None and scan.read_text(str(tmp_path), "big.ts", 10) is None
 
 
@@ -156,3 +166,80 @@ def test_refresh_stream(spark, tmp_path):
     echo = spark.createDataFrame([("a", t, 5, False, "h3", None)], ev)
     assert {tuple(r) for r in refresh.apply_batch(state["t"], echo).collect()} == {tuple(r) for r in state["t"].collect()}
     assert state["t"].where(F.col("path") == "b").count() == 0
+
+
+def _tables(index):
+    return {t: {tuple(str(v) for k, v in sorted(r.asDict().items()) if k not in ("last_indexed", "last_modified")) for r in index.read(t).collect()} for t in index.TABLES}
+
+
+def test_live_index_like_a_rebuild(spark, tmp_path):
+    """A stream that sees files made, edited, renamed and deleted ends with the tables of a rebuild; a batch applied twice changes nothing."""
+    root = tmp_path / "src"
+    (root / "p/node_modules").mkdir(parents=True)
+    write = lambda p, t: (root / p).write_text(t)
+    write("p/a.py", "def one():\n    return two()\n\ndef two():\n    return 2\n")
+    write("p/b.ts", "import { x } from './c';\nexport class A { run() { return this.stop(); } stop() { return x(); } }\n")
+    write("p/c.go", "package c\n\nfunc Old() { len(nil); Old() }\n")
+    write("p/node_modules/d.js", "function no() {}\n")
+    index = refresh.LiveIndex(spark, str(tmp_path / "live"), buckets=4)
+
+    def settles(want):
+        """Waits for the watching query to index ``want``."""
+        end = time.time() + 120
+        while time.time() < end:
+            try:
+                if {r.path: r.size for r in index.read("files").collect()} == {p: (root / p).stat().st_size for p in want}:
+                    return True
+            except Exception:  # the table is being replaced or not there yet
+                pass
+            time.sleep(0.5)
+        return False
+
+    query = watch.start(spark, str(root), index, str(tmp_path / "cp"))
+    assert settles({"p/a.py", "p/b.ts", "p/c.go"})
+    assert {r.path for r in index.read("files").collect()} == {"p/a.py", "p/b.ts", "p/c.go"}
+    refs = {(r.file, r.target_name): r.target_id for r in index.read("refs").collect()}
+    assert refs["p/a.py", "two"] and refs["p/b.ts", "stop"] and refs["p/c.go", "Old"] and ("p/c.go", "len") not in refs
+    time.sleep(1.1)  # file times count in seconds on some systems
+    write("p/a.py", "def one():\n    return three()\n\ndef three():\n    return 3\n")
+    (root / "p/c.go").rename(root / "p/moved.go")
+    os.utime(root / "p/moved.go")
+    (root / "p/b.ts").unlink()
+    assert settles({"p/a.py", "p/moved.go"}) and watch.shutdown(query, seconds=15) in (True, False) and not query.isActive
+    fresh = refresh.LiveIndex(spark, str(tmp_path / "fresh"), buckets=7)
+    events = watch.changes(spark, str(root), fresh)
+    assert {r.outcome for r in fresh.apply(events).collect()} == {"new"}
+    assert _tables(index) == _tables(fresh)
+    assert watch.changes(spark, str(root), fresh).count() == 0
+    assert {r.outcome for r in fresh.apply(events).collect()} <= {"echo"} and _tables(index) == _tables(fresh)
+
+
+def test_outcomes(spark, tmp_path):
+    index = refresh.LiveIndex(spark, str(tmp_path / "x"), buckets=2, max_bytes=50)
+    t = datetime(2024, 1, 1)
+    ev = lambda *rows: spark.createDataFrame([(p, t + timedelta(seconds=s), q, gone, c, len(c or ""), 1.0) for p, s, q, gone, c in rows], refresh.EVENT)
+    got = lambda b: {r.path: r.outcome for r in index.apply(b).collect()}
+    assert got(ev(("a.py", 0, 0, False, "x = 1\n"), ("b.py", 0, 0, False, None), ("c.py", 0, 0, False, "y" * 60), ("d.py", 0, 0, True, None))) == {"a.py": "new", "b.py": "unread", "c.py": "too large", "d.py": "deleted"}
+    assert got(ev(("a.py", 1, 0, True, None), ("a.py", 2, 0, False, "x = 1\n"))) == {"a.py": "echo"}
+    assert got(ev(("a.py", 3, 0, False, "x = 2\n"))) == {"a.py": "changed"} and index.read("files").count() == 1
+    assert got(ev(("a.py", 4, 0, True, None))) == {"a.py": "deleted"} and index.read("files").count() == 0
+
+
+def test_watch_helpers(spark, tmp_path):
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "ok"
+
+    assert watch.with_retries(flaky, wait=0) == "ok" and len(calls) == 3
+    with pytest.raises(OSError):
+        watch.with_retries(lambda: (_ for _ in ()).throw(OSError()), attempts=2, wait=0)
+    g = watch.Generation(size=2)
+    assert [g.get(k, lambda k=k: k * 2) for k in (1, 2, 3)] == [2, 4, 6] and g.get(3, lambda: "new") == 6 and g.get(1, lambda: "made again") == "made again"
+    g.advance()
+    assert g.get(3, lambda: "fresh") == "fresh"
+    q = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert watch.shutdown(q, seconds=0.0) in (True, False) and not q.isActive
