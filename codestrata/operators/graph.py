@@ -157,6 +157,31 @@ def rank_references(edges: DataFrame, targets: DataFrame, limit: int = 20, weak:
     return e.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("rank") <= limit).select("id", "ref_id", "file", "line", "tier", "rank")
 
 
+def blast_of(scoped, roots: DataFrame) -> DataFrame:
+    """(id, blast_callers, blast_files, blast_depth) of a stated set of roots (id): distinct callers by name within two hops."""
+    caller = F.coalesce("source_id", F.concat(F.lit("m:"), "file"))
+
+    def callers(ids):
+        e = scoped.edges(scoped.symbols.join(ids, "id", "left_semi"))
+        return e.groupBy("id", "file", caller.alias("caller")).agg(F.max(strength_rank(F.col("strength"))).alias("rank"))
+
+    one = cut(callers(roots.select("id")))
+    walked = one.where(F.col("rank") >= RANK["import-connected"]).select(F.col("id").alias("root"), F.col("caller").alias("id"))
+    two = walked.join(callers(walked.select("id").distinct()), "id").select(F.col("root").alias("id"), "caller", "file", F.lit(2).alias("depth"))
+    hops = one.select("id", "caller", "file", F.lit(1).alias("depth")).unionByName(two).groupBy("id", "caller", "file").agg(F.min("depth").alias("depth"))
+    return hops.groupBy("id").agg(F.count("*").alias("blast_callers"), F.count_distinct("file").alias("blast_files"), F.max("depth").alias("blast_depth"))
+
+
+def caller_summary(trees: DataFrame) -> DataFrame:
+    """Per root of :func:`caller_trees`: distinct callers and files, callers by tier of their strongest edge, and whether a limit cut the walk short."""
+    caller = F.coalesce("symbol_id", F.concat(F.lit("m:"), "file"))
+    per = trees.groupBy("root", caller.alias("caller")).agg(F.max(strength_rank(F.col("strength"))).alias("rank"), F.first("file").alias("file"), F.min("depth").alias("depth"), F.max("depth_capped").alias("capped"))
+    return per.groupBy("root").agg(
+        F.count("*").alias("callers"), F.count_distinct("file").alias("files"), F.max("depth").alias("depths"), F.max("capped").alias("depth_capped"),
+        F.count_if(F.col("rank") == 3).alias("structural"), F.count_if(F.col("rank").isin(1, 2)).alias("name_match"), F.count_if(F.col("rank") == 0).alias("weak_member"),
+    )
+
+
 def risk_hotspots(files: DataFrame, symbols: DataFrame, fan_in: DataFrame, candidates: int = 40, top: int = 10) -> DataFrame:
     """The most churned files' most called symbols by log1p(churn) * log1p(callers) * (1 + log1p(complexity))."""
     hot = files.where("commit_frequency > 0").orderBy(F.desc("commit_frequency"), "path").limit(candidates).select(F.col("path").alias("file"), F.col("commit_frequency").alias("churn"))

@@ -171,3 +171,22 @@ def directory_groups(symbols: DataFrame, files: DataFrame, top: int = 7, kinds:
     total = per.groupBy("dir").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "dir").limit(top)
     rank = F.row_number().over(W.partitionBy("dir").orderBy(F.desc("n"), "kind"))
     return per.join(F.broadcast(total), "dir").withColumn("rank", rank).where(F.col("rank") <= kinds).select("dir", "total", "kind", "n", "rank")
+
+
+#: Fixed value: names of files that start a program.
+ENTRY = "^(index|main|app|server|cli|__main__|__init__)\\.(ts|tsx|js|mjs|cjs|jsx|py|java|go|rs|swift|kt|kts|dart|cs|php|rb|cpp|cc|cxx|c|m)$"
+
+
+def entry_points(files: DataFrame, symbols: DataFrame, texts: DataFrame, named_first: DataFrame | None = None, limit: int = 15) -> DataFrame:
+    """(path, tier): 1 what a package names (``named_first``, path), 2 files named like a start, 3 Python main guards, 4 index files, 5 most exporting files."""
+    f = files.select("path", F.lower(F.regexp_extract("path", "[^/]*$", 0)).alias("base"))
+    barrel = F.col("base").rlike("^(index|__init__)\\.")
+    named = f.where(F.col("base").rlike(ENTRY) & ~barrel).select("path", F.lit(2).alias("tier"))
+    guarded = texts.where(F.col("path").endswith(".py") & F.col("content").rlike("(?m)^if __name__ *== *[\"']__main__[\"']"))
+    guard = guarded.join(f.select("path"), "path", "left_semi").select("path", F.lit(3).alias("tier"))
+    top = symbols.where("exported").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("c")).join(f.select("path"), "path", "left_semi")
+    top = top.orderBy(F.desc("c"), "path").limit(limit).select("path", F.lit(5).alias("tier"))
+    u = named.unionByName(guard).unionByName(f.where(barrel).select("path", F.lit(4).alias("tier"))).unionByName(top)
+    if named_first is not None:
+        u = u.unionByName(named_first.join(f.select("path"), "path", "left_semi").select("path", F.lit(1).alias("tier")))
+    return u.groupBy("path").agg(F.min("tier").alias("tier")).orderBy("tier", F.size(F.split("path", "/")), "path").limit(limit)

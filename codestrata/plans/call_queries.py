@@ -9,7 +9,7 @@ from codestrata.operators import graph, resolve, rules
 from codestrata.plans import views
 from codestrata.plans.catalog import query
 from codestrata.plans.views import sql
-from codestrata.session import load
+from codestrata.session import cut, load
 
 _NORM = "regexp_replace({0}, '(^|/)(\\./)+', '\\1', 'g')"
 for _ in range(5):
@@ -142,14 +142,27 @@ def resolution_rate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("risk_hotspots", sql(_SCOPES + """,
+#: Hops by name: every edge gives a caller, those that are import-connected or resolved lead on.
+_NAMED = sql(_SCOPES + """,
+one AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, file, bool_or(strength IN ('resolved', 'import-connected')) AS walked FROM e GROUP BY ALL),
+two AS (SELECT a.id, z.caller, z.file FROM one a JOIN one z ON z.id = a.caller WHERE a.walked),
+hp AS (SELECT id, caller, file, min(depth) AS depth FROM (SELECT id, caller, file, 1 AS depth FROM one UNION ALL SELECT id, caller, file, 2 FROM two) GROUP BY ALL)
+""")
+
+
+@query("risk_hotspots", _NAMED + """,
 fi AS (SELECT id, count(*) AS callers FROM e GROUP BY id),
 hot AS (SELECT path, commit_frequency AS churn FROM f WHERE commit_frequency > 0 ORDER BY churn DESC, path LIMIT 40),
 bst AS (SELECT * FROM (SELECT t.id, t.name, hot.path AS file, churn, callers, coalesce(s.cognitive, s.complexity - 1, 0) AS cx, row_number() OVER (PARTITION BY hot.path ORDER BY callers DESC, t.start_line, t.id) AS rn
   FROM hot JOIN t ON t.file = hot.path JOIN s ON s.id = t.id JOIN fi ON fi.id = t.id) WHERE rn = 1)
-SELECT id, name, file, churn, callers, cx, round(ln(1 + churn) * ln(1 + callers) * (1 + ln(1 + cx)), 6) AS score FROM bst ORDER BY score DESC, file LIMIT 10"""))
+tp AS (SELECT id, name, file, churn, callers, cx, round(ln(1 + churn) * ln(1 + callers) * (1 + ln(1 + cx)), 6) AS score FROM bst ORDER BY score DESC, file LIMIT 10),
+bl AS (SELECT id, count(*) AS blast_callers, count(DISTINCT file) AS blast_files, max(depth) AS blast_depth FROM hp GROUP BY id)
+SELECT tp.*, blast_callers, blast_files, blast_depth FROM tp LEFT JOIN bl USING (id)""")
 def risk_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    return graph.risk_hotspots(views.files(spark, d), views.symbols(spark, d), scoped(spark, d).fan_in())
+    """The riskiest symbols, each with its callers by name within two hops."""
+    s = scoped(spark, d)
+    top = cut(graph.risk_hotspots(views.files(spark, d), views.symbols(spark, d), s.fan_in()))
+    return top.join(graph.blast_of(s, top), "id", "left")
 
 
 _STRICT = """
@@ -163,14 +176,6 @@ _STRICT_BLAST = sql(_STRICT + " SELECT dst AS id, count(*) AS callers, count(DIS
 _STRICT_HOPS = sql(_STRICT + " SELECT dst AS id, depth, count(*) AS callers FROM mn GROUP BY ALL")
 
 
-#: Hops by name: every edge gives a caller, those that are import-connected or resolved lead on.
-_NAMED = sql(_SCOPES + """,
-one AS (SELECT id, coalesce(source_id, 'm:' || file) AS caller, file, bool_or(strength IN ('resolved', 'import-connected')) AS walked FROM e GROUP BY ALL),
-two AS (SELECT a.id, z.caller, z.file FROM one a JOIN one z ON z.id = a.caller WHERE a.walked),
-hp AS (SELECT id, caller, file, min(depth) AS depth FROM (SELECT id, caller, file, 1 AS depth FROM one UNION ALL SELECT id, caller, file, 2 FROM two) GROUP BY ALL)
-""")
-
-
 @query("blast_radius_depth2", _NAMED + "SELECT id, count(*) AS callers, count(DISTINCT file) AS files, max(depth) AS depths FROM hp GROUP BY id")
 def blast_radius_depth2(spark: SparkSession, d: str) -> DataFrame:
     """Distinct transitive callers by name, two hops, of every symbol."""

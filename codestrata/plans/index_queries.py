@@ -37,8 +37,7 @@ def directory_groups_top(spark: SparkSession, d: str) -> DataFrame:
     return lookup.directory_groups(views.symbols(spark, d), views.files(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-#: Fixed value: names of files that start a program.
-_ENTRY = "^(index|main|app|server|cli|__main__|__init__)\\.(ts|tsx|js|mjs|cjs|jsx|py|java|go|rs|swift|kt|kts|dart|cs|php|rb|cpp|cc|cxx|c|m)$"
+_ENTRY = lookup.ENTRY
 
 
 @query("entry_point_tiers", sql(f"""
@@ -49,15 +48,7 @@ u AS (SELECT path, 2 AS tier FROM n WHERE regexp_matches(base, '{_ENTRY}') AND N
   UNION SELECT path, 4 FROM n WHERE regexp_matches(base, '^(index|__init__)\\.') UNION (SELECT path, 5 FROM ex JOIN n USING (path) ORDER BY c DESC, path LIMIT 15))
 SELECT path, min(tier) AS tier FROM u GROUP BY path ORDER BY tier, len(string_split(path, '/')), path LIMIT 15"""))
 def entry_point_tiers(spark: SparkSession, d: str) -> DataFrame:
-    f = views.files(spark, d).select("path", F.lower(F.regexp_extract("path", "[^/]*$", 0)).alias("base"))
-    barrel = F.col("base").rlike("^(index|__init__)\\.")
-    named = f.where(F.col("base").rlike(_ENTRY) & ~barrel).select("path", F.lit(2).alias("tier"))
-    texts = load(spark, d, "source_texts").where(F.col("path").endswith(".py") & F.col("content").rlike("(?m)^if __name__ *== *[\"']__main__[\"']"))
-    guard = texts.join(f.select("path"), "path", "left_semi").select("path", F.lit(3).alias("tier"))
-    top = views.symbols(spark, d).where("exported").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("c")).join(f.select("path"), "path", "left_semi")
-    top = top.orderBy(F.desc("c"), "path").limit(15).select("path", F.lit(5).alias("tier"))
-    u = named.unionByName(guard).unionByName(f.where(barrel).select("path", F.lit(4).alias("tier"))).unionByName(top)
-    return u.groupBy("path").agg(F.min("tier").alias("tier")).orderBy("tier", F.size(F.split("path", "/")), "path").limit(15)
+    return lookup.entry_points(views.files(spark, d), views.symbols(spark, d), load(spark, d, "source_texts"))
 
 
 @query("exporter_ranking", sql("SELECT file, count(*) AS exports FROM s WHERE exported AND file IN (SELECT path FROM f) GROUP BY file ORDER BY exports DESC, file LIMIT 20"))
