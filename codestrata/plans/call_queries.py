@@ -155,7 +155,7 @@ fi AS (SELECT id, count(*) AS callers FROM e GROUP BY id),
 hot AS (SELECT path, commit_frequency AS churn FROM f WHERE commit_frequency > 0 ORDER BY churn DESC, path LIMIT 40),
 bst AS (SELECT * FROM (SELECT t.id, t.name, hot.path AS file, churn, callers, coalesce(s.cognitive, s.complexity - 1, 0) AS cx, row_number() OVER (PARTITION BY hot.path ORDER BY callers DESC, t.start_line, t.id) AS rn
   FROM hot JOIN t ON t.file = hot.path JOIN s ON s.id = t.id JOIN fi ON fi.id = t.id) WHERE rn = 1)
-tp AS (SELECT id, name, file, churn, callers, cx, round(ln(1 + churn) * ln(1 + callers) * (1 + ln(1 + cx)), 6) AS score FROM bst ORDER BY score DESC, file LIMIT 10),
+, tp AS (SELECT id, name, file, churn, callers, cx, round(ln(1 + churn) * ln(1 + callers) * (1 + ln(1 + cx)), 6) AS score FROM bst ORDER BY score DESC, file LIMIT 10),
 bl AS (SELECT id, count(*) AS blast_callers, count(DISTINCT file) AS blast_files, max(depth) AS blast_depth FROM hp GROUP BY id)
 SELECT tp.*, blast_callers, blast_files, blast_depth FROM tp LEFT JOIN bl USING (id)""")
 def risk_hotspots(spark: SparkSession, d: str) -> DataFrame:
