@@ -137,17 +137,55 @@ def outline(path: str, text: str, language: str) -> dict:
 # ------------------------------------------------------------------ Python
 
 
-def _python(text: str) -> dict:
-    symbols, calls, imports = [], [], []
+_BLOCK = re.compile(r"[^\s#)\]}]")
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b")
+_MENDS = 4  # lines of a block that may be left out
+
+
+def _python_tree(text: str):
+    """The tree of a text, or the line of its first error (0 where there is no telling)."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return {"symbols": [], "calls": [], "imports": []}
+            return ast.parse(text)
+    except SyntaxError as e:
+        return e.lineno or 0
+    except (ValueError, RecursionError, MemoryError):
+        return 0
+
+
+def _python_top(text: str) -> list:
+    """Statements of a file. Of a broken one, those of its top-level blocks that parse, up to ``_MENDS`` lines of each left out."""
+    tree = _python_tree(text)
+    if not isinstance(tree, int):
+        return tree.body
+    lines = text.splitlines()
+    starts, decorated = [], False
+    for i, line in enumerate(lines):
+        if _BLOCK.match(line) and not _GOES_ON.match(line):
+            if not decorated:
+                starts.append(i)
+            decorated = line[0] == "@"
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(lines)]):
+        block = lines[a:b]
+        for _ in range(_MENDS + 1):
+            tree = _python_tree("\n".join(block))
+            if not isinstance(tree, int):
+                out += ast.increment_lineno(tree, a).body
+                break
+            if not 1 < tree <= len(block):  # the head itself, or what lies beyond
+                break
+            block[tree - 1] = " " * (len(block[tree - 1]) - len(block[tree - 1].lstrip())) + "pass"
+    return out
+
+
+def _python(text: str) -> dict:
+    symbols, calls, imports = [], [], []
+    top = _python_top(text)
     lines = text.splitlines()
     listed = None
-    for n in tree.body:
+    for n in top:
         if isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in n.targets) and isinstance(n.value, (ast.List, ast.Tuple)):
             listed = {e.value for e in n.value.elts if isinstance(e, ast.Constant)}
 
@@ -223,7 +261,7 @@ def _python(text: str) -> dict:
                 r = v.id if isinstance(v, ast.Name) else OPAQUE
                 calls.append({"source": source, "target_name": f.attr, "receiver": r, "self_receiver": True if r in ("self", "cls") else None, "line": n.lineno})
 
-    visit(tree.body, None, None, True)
+    visit(top, None, None, True)
     return {"symbols": symbols, "calls": calls, "imports": imports}
 
 

@@ -71,3 +71,12 @@ def test_body_complexity():
     assert {k: body_complexity(c, k) for k, (c, _) in cases.items()} == {k: n for k, (_, n) in cases.items()}
     assert body_complexity("def f():\n    return 1", "python") is None and body_complexity("if", "unknown") is None
     assert body_complexity("    if a:\n        return", "python") == 2
+
+
+def test_broken_python_keeps_the_rest():
+    text = "import os\n\ndef good(a):\n    return os.path.join(a)\n\n<<<<<<< HEAD\ndef left(:\n    pass\n=======\n@deco\ndef right():\n    x = = 3\n    return good(1)\n>>>>>>> z\n\nclass A:\n    def m(self):\n        return self.n()\n    def n(self): return (1\n"
+    o = outline("a.py", text, "python")
+    got = {(s["name"], s["kind"], s["start_line"]) for s in o["symbols"]}
+    assert {("good", "function", 3), ("right", "function", 11)} <= got and ("left", "function", 7) not in got
+    assert {("join", 4), ("good", 13)} <= {(c["target_name"], c["line"]) for c in o["calls"]} and [i["module"] for i in o["imports"]] == ["os"]
+    assert outline("b.py", "def f(:\n" * 50, "python") == {"symbols": [], "calls": [], "imports": []}
