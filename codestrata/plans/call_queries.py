@@ -282,13 +282,14 @@ def resolved_target_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("calls_seen_in_text", sql("""
-tx AS (SELECT path, max(content) AS content FROM source_texts WHERE content IS NOT NULL GROUP BY path)
-SELECT coalesce(f.language, 'unknown') AS language, count(*) AS calls, count(*) FILTER (WHERE contains(content, target_name)) AS seen FROM r JOIN tx ON tx.path = r.file LEFT JOIN f ON f.path = r.file WHERE target_name IS NOT NULL GROUP BY ALL"""))
+tx AS (SELECT path, list_distinct(regexp_split_to_array(max(content), '[^\\p{L}\\p{N}_$]+')) AS ws FROM source_texts WHERE content IS NOT NULL GROUP BY path)
+SELECT coalesce(f.language, 'unknown') AS language, count(*) AS calls, count(*) FILTER (WHERE list_contains(ws, target_name)) AS seen FROM r JOIN tx ON tx.path = r.file LEFT JOIN f ON f.path = r.file WHERE target_name IS NOT NULL GROUP BY ALL"""))
 def calls_seen_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Ground truth: how many calls name something their file's text holds."""
+    """Ground truth: how many calls name a whole word of their file's text."""
     t = load(spark, d, "source_texts").where("content is not null").groupBy(F.col("path").alias("file")).agg(F.max("content").alias("content"))
+    words = t.select("file", F.explode(F.array_distinct(F.split("content", "[^\\p{L}\\p{N}_$]+"))).alias("target_name"), F.lit(1).alias("there"))
     f = views.files(spark, d).select(F.col("path").alias("_p"), "language")
-    r = views.refs(spark, d).where("target_name is not null").select("file", "target_name").groupBy("file", "target_name").agg(F.count("*").alias("n"))
-    j = r.join(t, "file").join(f, F.col("file") == F.col("_p"), "left")
-    seen = F.when(F.contains("content", "target_name"), F.col("n")).otherwise(0)
+    r = views.refs(spark, d).where("target_name is not null").groupBy("file", "target_name").agg(F.count("*").alias("n")).join(t.select("file"), "file")
+    j = r.join(words, ["file", "target_name"], "left").join(f, F.col("file") == F.col("_p"), "left")
+    seen = F.when(F.col("there") == 1, F.col("n")).otherwise(0)
     return j.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.sum("n").alias("calls"), F.sum(seen).alias("seen"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import expressions as X
 from codestrata.operators import history, lookup, maintain
-from codestrata.plans import views
+from codestrata.plans import call_queries, views
 from codestrata.plans.catalog import query
 from codestrata.plans.views import sql
 from codestrata.session import load
@@ -212,16 +212,16 @@ def apply_history(spark: SparkSession, d: str) -> DataFrame:
     return maintain.apply_history(views.files(spark, d), history.commit_counts(views.commits(spark, d))).select("path", "commit_frequency")
 
 
-@query("working_set_rank", sql("""
+@query("working_set_rank", sql(call_queries._SCOPES + """,
 ch AS (SELECT DISTINCT path FROM cf WHERE commit_ord IN (SELECT commit_ord FROM c ORDER BY ts DESC NULLS LAST, commit_ord DESC LIMIT 20)),
-cl AS (SELECT target_id, count(*) AS calls FROM r WHERE target_id IS NOT NULL GROUP BY 1),
+cl AS (SELECT id AS target_id, count(*) AS calls FROM e GROUP BY 1),
 sy AS (SELECT s.file, s.id, s.name, coalesce(calls, 0) AS calls, row_number() OVER (PARTITION BY s.file ORDER BY coalesce(calls, 0) DESC, start_line, s.id) AS rank FROM s LEFT JOIN cl ON cl.target_id = s.id WHERE s.file IN (SELECT path FROM ch)),
 fm AS (SELECT file, max(calls) AS best FROM sy GROUP BY file ORDER BY best DESC, file LIMIT 10)
 SELECT file, id, name, calls, rank, best FROM sy JOIN fm USING (file) WHERE rank <= 3"""))
 def working_set_rank(spark: SparkSession, d: str) -> DataFrame:
     """The changed files of the newest commits with their most called symbols."""
     ch = history.newest(views.commits(spark, d), 20).select(F.explode("files").alias("file")).distinct()
-    calls = views.refs(spark, d).where("target_id is not null").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("calls"))
+    calls = call_queries.scoped(spark, d).fan_in().withColumnRenamed("callers", "calls")
     s = views.symbols(spark, d).join(ch, "file", "left_semi").join(calls, "id", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
     s = s.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy(F.desc("calls"), "start_line", "id")))
     best = s.groupBy("file").agg(F.max("calls").alias("best")).orderBy(F.desc("best"), "file").limit(10)
