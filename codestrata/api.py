@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import expressions as X
 from codestrata.operators import graph, history, lookup, notes, resolve, search
 from codestrata.plans import views
+from codestrata.session import cut
 from codestrata.sources import git, scan
 
 
@@ -32,6 +33,10 @@ class Index:
     def scoped(self) -> resolve.Scoped:
         return resolve.Scoped(views.refs(self.spark, self.folder), self.symbols, views.bindings(self.spark, self.folder), self.files)
 
+    @cached_property
+    def fan_in(self) -> DataFrame:
+        return cut(self.scoped.fan_in())
+
     @cached_property
     def commits(self) -> DataFrame:
         return views.commits(self.spark, self.folder)
@@ -69,7 +74,7 @@ class Index:
             "kinds": s.groupBy("kind").agg(F.count("*").alias("symbols")).orderBy(F.desc("symbols"), "kind"),
             "folders": lookup.directory_groups(s, f),
             "hotspots": history.hotspots(history.commit_counts(self.commits), f, 10),
-            "risk": graph.risk_hotspots(f, s, self.scoped.fan_in()),
+            "risk": graph.risk_hotspots(f, s, self.fan_in),
         }
 
     def find_symbol(self, name: str, kind: str | None = None, scope: str | None = None, limit: int = 10) -> DataFrame:
@@ -77,7 +82,7 @@ class Index:
         if scope and not scope.endswith("/") and not self.files.where(F.col("path") == scope).limit(1).count():
             scope += "/"
         hit = lookup.find_symbols(self.symbols, name, min(limit, 100), kind, scope)
-        out = hit.join(self.scoped.fan_in(), "id", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
+        out = hit.join(self.fan_in, "id", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
         called = self.scoped.refs.where("target_id is not null").groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("target_id").alias("callees"))
         out = out.join(called, "id", "left").withColumn("callees", F.coalesce("callees", F.lit(0))).withColumn("complexity_label", X.complexity_label(F.col("complexity"), F.col("cognitive")))
         return out.orderBy(F.desc("is_exact"), F.desc(F.coalesce(F.col("exported"), F.lit(False)).cast("int")), "depth", "file", "name", "start_line", "id")
@@ -149,7 +154,7 @@ class Index:
         own = self.symbols.join(changed.select(F.col("path").alias("file")), "file", "left_semi")
         lost = changed.join(own.select(F.col("file").alias("path")).distinct(), "path", "left_anti").where("orig_path is not null")
         old = self.symbols.join(lost.select(F.col("orig_path").alias("file"), F.col("path").alias("now")), "file").withColumn("file", F.col("now")).drop("now")
-        s = own.unionByName(old).join(self.scoped.fan_in(), "id", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
+        s = own.unionByName(old).join(self.fan_in, "id", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
         per = s.groupBy("file").agg(F.max("callers").alias("callers"), F.count("*").alias("symbols"))
         ranked = changed.select(F.col("path").alias("file"), "status").join(per, "file", "left").fillna(0, ["callers", "symbols"]).orderBy(F.desc("callers"), "file").limit(min(limit, 30))
         best = s.join(F.broadcast(ranked.select("file")), "file").withColumn("place", F.row_number().over(W.partitionBy("file").orderBy(F.desc("callers"), "start_line", "id"))).where("place <= 3")
