@@ -2,13 +2,14 @@
 
 Third-party copies. Every file becomes a set of line hashes: three consecutive lines that
 carry text, without white space at their ends. Files with the same set are one form. The
-inverted index leads from a hash to the forms that hold it; only rare hashes count, those of
-at most ``RARE`` forms, and those of a form that several repositories hold whole, however
-widely it is copied. A file is vendored if one single form of another repository contains at
-least ``CONTAINED`` of its hashes. The index proposes at most three sources for a hash: the
-most copied form and those of the least and greatest repository; a source proposed for
-``PROPOSED`` of a file is compared with it in full. So a file that is put together from idioms
-of many repositories is no copy, and nothing is ever paired within a group.
+inverted index leads from a hash to the forms that hold it. A hash is rare if at most ``RARE``
+forms have it, or if a form that several repositories hold whole has it, however widely it is
+copied. A file is vendored if one single form of another repository contains at least
+``CONTAINED`` of its hashes as rare ones, or at least ``ALIKE`` of its hashes, rare or not: so the
+lines that everyone has do not make a copy of a file with work of its own, but a text that very many
+repositories keep, each with changes of its own, is still found. All forms count as sources, not only
+those that the index proposes. So a file that is put together from idioms of many repositories is
+no copy, and nothing is ever paired within a group.
 
 A text of fewer than ``MIN_HASHES`` such passages but at least ``SOLID`` characters has one
 hash, that of all its lines; shorter ones (a stock script, an error page) are nobody's work in
@@ -33,14 +34,16 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.registry import query
-from codestrata.llm.skew import join_by_key
-from codestrata.session import cut, load
+from codestrata.llm.skew import join_by_key, salted_join
+from codestrata.session import cut, load, shuffle_width
 
-LINES, MIN_HASHES, SOLID, CONTAINED, PROPOSED, RARE = 3, 8, 400, 0.5, 0.1, 16
+LINES, MIN_HASHES, SOLID, CONTAINED, ALIKE, RARE = 3, 8, 400, 0.5, 2 / 3, 16
+#: Only chooses the cheaper of two ways to the same counts.
+WHOLE = 4
 
 _STR = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 _LEX_C = re.compile(rf"/\*.*?(?:\*/|\Z)|//[^\n]*|{_STR}|`(?:\\.|[^`\\])*`", re.S)
@@ -174,32 +177,54 @@ def _rows(batches):
 _ROWS = "path string, repo long, kind string, form long, hashes array<long>"
 
 
+def _copied():
+    """Whether a source that holds ``held`` of the ``size`` hashes of a form, ``rare`` of them rare, makes it a copy."""
+    return (F.col("rare") >= CONTAINED * F.col("size")) | (F.col("held") >= ALIKE * F.col("size"))
+
+
 def containment(rows: DataFrame) -> DataFrame:
-    """(form, files, contained) of each form of a text that another repository has for the share ``contained``.
+    """(form, files, contained) of each form of a text that one form of another repository contains.
 
-    A form is a set of hashes; files with equal sets are one form, and one found in several
-    repositories is a copy of itself (1.0). Every other form is compared with the sources that the index
-    proposes for its hashes; those that may reach ``CONTAINED`` are compared in full.
+    A form is a set of hashes; files with equal sets are one form, and one found in several repositories is
+    a copy of itself (1.0). The index proposes up to three sources for a hash, which settles the forms that
+    most copies of a text are. Every other form meets all forms that can contain it: such a form misses so
+    few of its shared hashes that it has one of the most seldom few. ``contained`` is the share of all hashes in
+    one source that suffices, the fullest of those compared; there may be a fuller one.
     """
     forms = rows.where("form is not null").groupBy("form").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.count("*").alias("files"), F.first("hashes").alias("hashes"))
     forms = forms.select("form", "files", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("repo"), "hashes")
     posts = forms.select("form", "files", "repo", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
-    known = posts.groupBy("hash").agg(F.count("*").alias("df"), F.max(F.col("repo").isNull()).alias("library"))
-    known = known.where((F.col("df") > 1) & ((F.col("df") <= RARE) | F.col("library"))).select("hash", "df")
-    posts = cut(join_by_key(posts, known, ["hash"], F.col("df")))  # what is found in one form only is gone
+    known = posts.groupBy("hash").agg(F.count("*").alias("df"), F.max(F.col("repo").isNull()).alias("library"), F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    known = known.where("df > 1 and (library or lo <> hi)").select("hash", "df", (F.col("library") | (F.col("df") <= RARE)).cast("int").alias("rare"))
+    posts = cut(join_by_key(posts, known, ["hash"], F.col("df")))  # what is found in one form or one repository only is gone
     source = F.struct("form", "repo")
     first = F.struct(F.col("repo").isNull(), "files", "form", "repo")  # the most copied form: a library before a file
     index = posts.groupBy("hash").agg(F.max("df").alias("df"), F.max(F.struct(first.alias("o"), source.alias("s"))).alias("a"), F.min(F.struct("repo", source.alias("s"))).alias("b"), F.max(F.struct("repo", source.alias("s"))).alias("c"))
     index = index.select("hash", "df", F.array("a.s", "b.s", "c.s").alias("sources"))
-    own = posts.where("repo is not null").drop("df")
-    votes = join_by_key(own, index, ["hash"], F.col("df")).select("form", "files", "size", "hash", F.col("repo").alias("home"), F.explode(F.array_distinct("sources")).alias("s"))
-    votes = votes.where("s.form <> form and (s.repo is null or s.repo <> home)").groupBy("form", "files", "size", F.col("s.form").alias("source")).agg((F.count("*") / F.col("size")).alias("share"))
-    votes = cut(votes.where(F.col("share") >= PROPOSED))
-    near = votes.where(F.col("share") < CONTAINED).join(votes.where(F.col("share") >= CONTAINED).select("form").distinct(), "form", "left_anti")
-    theirs = posts.select(F.col("form").alias("source"), "hash")
-    full = near.join(own.select("form", "hash"), "form").join(theirs, ["source", "hash"]).groupBy("form", "files", "size", "source").agg((F.count("*") / F.col("size")).alias("share"))
-    found = votes.where(F.col("share") >= CONTAINED).unionByName(full.where(F.col("share") >= CONTAINED))
-    found = found.groupBy("form", "files").agg(F.max("share").alias("contained"))
+    own = posts.where("repo is not null")
+    sums = F.first("size").alias("size"), F.sum("rare").alias("rare"), F.count("*").alias("held")
+    votes = join_by_key(own.drop("df"), index, ["hash"], F.col("df")).select("form", "size", "rare", F.col("repo").alias("home"), F.explode(F.array_distinct("sources")).alias("s"))
+    votes = votes.where("s.form <> form and (s.repo is null or s.repo <> home)").groupBy("form", F.col("s.form").alias("source")).agg(*sums).where(_copied())
+    settled = cut(votes.groupBy("form").agg(F.max(F.struct("held", "source")).alias("m")).select("form", "m.source"))
+    # of the rest, those that all others together could contain; a source has ``need`` of such a form's hashes
+    rest = own.groupBy("form").agg(*sums).where(_copied()).join(settled, "form", "left_anti")
+    half, most = F.ceil(CONTAINED * F.col("size")), F.ceil(ALIKE * F.col("size"))
+    rest = rest.select("form", (F.col("rare") - half).alias("few_rare"), (F.col("held") - most).alias("few"), F.when(F.col("rare") >= half, half).otherwise(most).alias("need"))
+    seldom = Window.partitionBy("form").orderBy("df", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    lead = F.expr("i <= few or rare = 1 and j <= few_rare")
+    begin = own.join(rest, "form").repartition(shuffle_width(rows.sparkSession), "form")  # few rows that meet very many
+    begin = begin.withColumn("i", F.count("*").over(seldom) - 1).withColumn("j", F.sum("rare").over(seldom) - 1).withColumn("lead", lead)
+    # where the seldom ones are met about as often as all, all are counted at once; else the pairs they find are compared
+    led = F.sum(F.when(F.col("lead"), F.col("df"))).over(Window.partitionBy("form"))
+    begin = begin.withColumn("whole", F.sum("df").over(Window.partitionBy("form")) <= WHOLE * led)
+    begin = cut(begin.where("lead or whole").select("form", "files", "size", "rare", F.col("repo").alias("home"), "need", "whole", "hash"))
+    theirs = posts.select(F.col("form").alias("source"), F.col("repo").alias("there"), F.col("size").alias("has"), "hash")
+    met = salted_join(begin, theirs, ["hash"]).where("source <> form and has >= need and (there is null or there <> home)")
+    met = cut(met.groupBy("form", "files", "source", "whole").agg(*sums).where(~F.col("whole") | _copied()))
+    pairs = settled.unionByName(met.where(~F.col("whole")).select("form", "source"))
+    full = pairs.join(own.select("form", "files", "size", "rare", "hash"), "form").join(theirs.select("source", "hash"), ["source", "hash"])
+    full = full.groupBy("form", "files", "source").agg(*sums).where(_copied()).unionByName(met.where("whole").drop("whole"))
+    found = full.groupBy("form", "files").agg(F.max(F.col("held") / F.col("size")).alias("contained"))
     return found.unionByName(forms.where("repo is null").select("form", "files", F.lit(1.0).alias("contained")))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -140,3 +141,58 @@ def test_one_source_has_to_contain_it(spark, monkeypatch):
     import codestrata.llm.skew as K
     monkeypatch.setattr(K.join_by_key, "__defaults__", (4,))
     assert {x.path for x in P.provenance(df).collect() if x.kind == "vendored"} == want
+
+
+def test_every_source_counts(spark):
+    """A source that the index proposes for no hash, and a text that very many repositories keep with changes of their own."""
+    r = random.Random(10)
+    text = _lines(r, 60)
+    repos = sorted((f"m{i}" for i in range(30)), key=P._signed)
+    copy, source = f"{repos[14]}/copy.js", f"{repos[15]}/source.js"
+    files = {source: text + _lines(r, 70), copy: text[:48] + _lines(r, 20)}
+    for i in range(12):  # all around it hold a few passages of it, and are the least, the greatest and the most copied
+        part = text[max(5 * i - 2, 0) : 5 * i + 7]
+        files |= {f"{repos[i]}/x.js": part + _lines(r, 30), f"{repos[-1 - i]}/x.js": part + _lines(r, 40)}
+        files[f"{repos[-1 - i]}/y.js"] = files[f"{repos[-1 - i]}/x.js"]
+    lib = _lines(r, 60)
+    for i in range(25):  # each with another change: no passage is in fewer than 17 forms, none in a whole copy
+        files[f"k{i}/lib.js"] = lib[: i + 10] + _lines(r, 2) + lib[i + 12 :]
+    df = spark.createDataFrame([(p, "\n".join(t)) for p, t in files.items()], "path string, content string")
+    got = {x.path: x.containment for x in P.provenance(df).collect() if x.kind == "vendored"}
+    assert set(got) == {copy} | {p for p in files if p[0] == "k"}
+    assert got[copy] == round(46 / 66, 6)
+
+
+def test_containment_equals_a_plain_model(spark, monkeypatch):
+    import codestrata.llm.skew as K
+    r = random.Random(11)
+    for rare, hot, whole in ((3, 100_000, 4), (3, 4, 0), (0, 100_000, 10**6)):
+        monkeypatch.setattr(P, "RARE", rare)
+        monkeypatch.setattr(P, "WHOLE", whole)
+        monkeypatch.setattr(K.join_by_key, "__defaults__", (hot,))
+        monkeypatch.setattr(K.salted_join, "__defaults__", (hot, 500_000 if hot > 4 else 0))
+        rows = []
+        for family in range(30):
+            pool = [family * 100 + i for i in range(r.choice((10, 20, 40)))]
+            for _ in range(r.choice((2, 5, 12))):
+                own = [-r.randrange(10**9) for _ in range(r.randrange(12))]
+                rows.append((r.randrange(8), sorted(set(r.sample(pool, r.randint(1, len(pool)))) | set(own) | set(r.sample(range(3000), 2)))))
+        rows += [(r.randrange(8), rows[i][1]) for i in range(0, len(rows), 20)]
+        repos = {}
+        for repo, hashes in rows:
+            repos.setdefault(tuple(hashes), set()).add(repo)
+        number = {h: i for i, h in enumerate(repos)}
+        library = {x for h, q in repos.items() if len(q) > 1 for x in h}
+        df = Counter(x for h in repos for x in h)
+        want, best = {number[h] for h, q in repos.items() if len(q) > 1}, {}
+        for h, q in repos.items():
+            for g, o in repos.items():
+                if g != h and len(q) == 1 and (len(o) > 1 or o != q):
+                    held = set(h) & set(g)
+                    if 2 * sum(df[x] <= rare or x in library for x in held) >= len(h) or 3 * len(held) >= 2 * len(h):
+                        want.add(number[h])
+                        best.setdefault(number[h], set()).add(len(held) / len(h))
+        table = spark.createDataFrame([(repo, number[tuple(h)], h) for repo, h in rows], "repo long, form long, hashes array<long>")
+        got = {x.form: x.contained for x in P.containment(table).collect()}
+        assert set(got) == want and 40 < len(want) < len(repos) - 20
+        assert all(share in best.get(form, {1.0}) for form, share in got.items())
