@@ -239,6 +239,25 @@ def test_edge_reports_cover_all_symbols(spark, monkeypatch):
     assert {"resolve", "save"} <= {x.name for x in q.distinct_callers(spark, "").join(sc.symbols, "id").collect()}
 
 
+def test_caller_groups_of_a_hot_name_are_not_shuffled(spark, monkeypatch):
+    """A name that many files call and many define: its rows are a product, made behind the last exchange; names split into parts and pairs left out."""
+    from codestrata.plans import call_queries as q
+
+    s = [sym(f"d{i}", "resolve", f"p{i % 7}/f{i}.ts") for i in range(40)] + [sym("only", "openOnce", "p0/f0.ts")] + [sym(f"x{i}", "closeAll", f"x/f{i}.ts") for i in range(9)]
+    r = [ref(i, f"d{i % 40}" if i % 3 else None, None, "resolve", f"p{i % 40 % 7}/f{i % 40}.ts", i, "o") for i in range(120)] + [ref(200 + i, None, None, "closeAll", "p1/f1.ts", i) for i in range(3)] + [ref(300, None, None, "openOnce", "p1/f1.ts")]
+    b = [bind("p1/f1.ts", "../p2/f2", "resolve"), bind("p1/f1.ts", "lib", "closeAll", line=2), bind("p1/f1.ts", "lib", "openOnce", line=3), bind("p3/f3.ts", "../p2/f2", "*", "o", "namespace"), bind("p3/f3.ts", "lib", "other", line=4)]
+    sc = build(spark, s, r, b)
+    monkeypatch.setattr(q, "scoped", lambda *_: sc)
+    want = sorted(map(tuple, graph.group_callers(sc.edges(sc.symbols)).collect()))
+    df = q.caller_groups(spark, "")
+    assert sorted(map(tuple, df.collect())) == want and len(want) > 1500
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "hashpartitioning(id#" not in plan.split("HashAggregate")[0]
+    g = sc.split().general.groupBy("cls", "name", "file", F.coalesce("source_id", F.concat(F.lit("m:"), "file")).alias("caller")).agg(F.count("*").alias("sites"))
+    rows = [sorted(map(tuple, sc.split().meet(g, some, most).select("id", "caller", "sites").collect())) for some, most in ((1, 1), (20, 3), (20, 50), (10**9, 1))]
+    assert rows[0] == rows[1] == rows[2] == rows[3] and len(rows[0]) > 1000
+
+
 def test_impact_is_by_name(spark, monkeypatch):
     """Callers in other files and at module level count; weak edges are callers but are not walked."""
     from codestrata.plans import call_queries as q
