@@ -272,6 +272,64 @@ def test_impact_is_by_name(spark, monkeypatch):
     assert {(x.id, x.depth): x.callers for x in q.impact_by_hop(spark, "").collect()} == {("gamma", 1): 4, ("gamma", 2): 2, ("beta", 1): 2, ("beta", 2): 4, ("weak", 1): 1}
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Calls of a few names by many files, some imported from a library, so that they lead on to all symbols of a name; (scoped, callers by symbol and hop)."""
+    rnd = random.Random(11)
+    names = ["resolve", "save", "loadEverything", "own"]
+    files = [f"{d}/f{k}.ts" for d in ("p", "q", "q/r") for k in range(7)]
+    s = [sym(f"s{i:03}", rnd.choice(names), rnd.choice(files), rnd.choice(["function", "function", "method", "class"]), rnd.random() < 0.7, line=i) for i in range(150)]
+    b = [bind(f, rnd.choice(["./f0", "../p/f1", "lib", "lib"]), *rnd.choice([("resolve", None, "value"), ("save", "stow", "value"), ("*", None, "value"), ("*", "ns", "namespace"), ("loadEverything", None, "value")]), line=k) for f in files for k in range(rnd.randrange(3))]
+    r = []
+    for i in range(500):
+        f = rnd.choice(files)
+        inside = [x[0] for x in s if x[4] == f]
+        r.append(ref(i, rnd.choice([None, *inside]), rnd.choice(inside) if inside and rnd.random() < 0.1 else None, rnd.choice([*names, "stow"]), f, i, rnd.choice([None, None, "ns", "o"])))
+    sc = build(spark, s, r, b, [(f, "typescript") for f in files])
+    one, walked = {}, {}
+    for e in sc.edges(sc.symbols).collect():
+        c = (e.source_id or "m:" + e.file, e.file)
+        one.setdefault(e.id, set()).add(c)
+        if e.strength in ("resolved", "import-connected"):
+            walked.setdefault(e.id, set()).add(c[0])
+    return sc, {i: (c, set().union(*[one.get(m, set()) for m in walked.get(i, ())]) - c) for i, c in one.items()}
+
+
+def kept_rows(monkeypatch):
+    """The numbers of rows of all tables that are kept on the way."""
+    from codestrata.operators import hops
+
+    rows = []
+
+    def noted(keep, *dfs):
+        out = keep(*dfs)
+        rows.extend(x.count() for x in (out if isinstance(out, list) else [out]))
+        return out
+
+    for module in (graph, hops):
+        for name in ("cut", "store", "store_all"):
+            if keep := getattr(module, name, None):
+                monkeypatch.setattr(module, name, lambda *dfs, keep=keep: noted(keep, *dfs))
+    return rows
+
+
+def test_blast_radius_of_hot_names_is_counted_without_their_product(spark, hot, monkeypatch):
+    """No table on the way has a row per symbol and caller; counts of several blocks of callers and symbols add up."""
+    from codestrata.operators import hops
+    from codestrata.plans import call_queries as q
+
+    sc, want = hot
+    monkeypatch.setattr(q, "scoped", lambda *_: sc)
+    counts = sorted((i, len(a | b), len({f for _, f in a | b}), 1 + bool(b)) for i, (a, b) in want.items())
+    sc.split()
+    rows = kept_rows(monkeypatch)
+    assert sorted(map(tuple, q.blast_radius_depth2(spark, "").collect())) == counts
+    assert sum(x[1] for x in counts) > 4 * max(rows) and sum(x[3] == 2 for x in counts) > 50
+    for block in (40, 150, 10**7):
+        monkeypatch.setattr(hops, "BLOCK", block)
+        assert sorted(map(tuple, q.blast_radius_depth2(spark, "").collect())) == counts
+
+
 def test_search_matches_prefix_and_near_terms(spark):
     s = spark.createDataFrame([sym("eq", "leaseHolder", "a.ts"), sym("pre", "leasesOpen", "b.ts"), sym("near", "leaveNow", "c.ts"), sym("far", "learner", "d.ts"), sym("nl", "größeÄndern", "e.ts"), sym("fq", "other", "resolver/x.ts"), sym("nt", "mustResolve", "f.ts")], SYM)
     rows = search.search_symbols(s, ["lease"]).collect()
