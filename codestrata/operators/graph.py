@@ -47,22 +47,9 @@ def blast_radius(edges: DataFrame, symbols: DataFrame, depth: int = 2) -> DataFr
 
 
 def named_callers_by_hop(split) -> DataFrame:
-    """(id, caller, file, depth): callers by name at one or two hops, each at its least distance; at module level, files.
-
-    Hops are walked where a caller tree grows: from calling symbols over edges that are resolved
-    or import-connected; others count as callers but lead no further. A symbol that calls
-    itself through another is its own caller, as in a tree.
-    """
-    caller = F.coalesce("source_id", F.concat(F.lit("m:"), "file"))
-
-    def grouped(edges, *keys):
-        return edges.groupBy(*keys, "file", caller.alias("caller")).agg(F.max(strength_rank(F.col("strength"))).alias("rank"))
-
-    g = grouped(split.general, "cls", "name").join(split.members.select("id", "cls", "name"), ["cls", "name"]).join(split.pairs.select("id", "file"), ["id", "file"], "left_anti")
-    one = cut(g.select("id", "caller", "file", "rank").unionByName(grouped(split.exact, "id").select("id", "caller", "file", "rank")))
-    walked = one.where(F.col("rank") >= RANK["import-connected"]).select("id", F.col("caller").alias("mid"))
-    two = walked.join(one.select(F.col("id").alias("mid"), "caller", "file"), "mid").select("id", "caller", "file", F.lit(2).alias("depth"))
-    return one.select("id", "caller", "file", F.lit(1).alias("depth")).unionByName(two).groupBy("id", "caller", "file").agg(F.min("depth").alias("depth"))
+    """(id, depth, callers): distinct callers by name of every symbol, each at its least distance."""
+    hop = F.explode(F.array(*[F.struct(F.lit(k).alias("depth"), F.col(c).alias("callers")) for k, c in ((1, "one"), (2, "two"))]))
+    return hops.named_hops(split).select("id", hop.alias("h")).select("id", "h.depth", "h.callers").where("callers > 0")
 
 
 def named_blast_radius(split) -> DataFrame:

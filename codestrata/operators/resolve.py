@@ -131,13 +131,14 @@ class Scoped:
             "id", "name", "kind", "file", "language", F.coalesce("exported", F.lit(False)).alias("exported"), class_of(F.col("fqn")).isNotNull().alias("member"), "start_line",
             dirname(F.col("file")).alias("dir"), (~F.col("kind").isin(*NON_CALLABLE_KINDS)).alias("bare_ok"),
         )
-        self.refs, self.files, self.bindings, self.symbols = refs, files, bindings, _ = store_all(refs, files, bindings, t)
+        # one after the other, so that the shuffle files of one are gone before the next
+        self.refs = refs = store(refs)
+        self.files, self.bindings, self.symbols = files, bindings, _ = store_all(files, bindings, t)
         self.targets = store(import_targets(bindings, files))
         lang = files.select(F.col("path").alias("_lp"), F.col("language").alias("file_language"))
         u = refs.where(F.col("target_id").isNull() & (F.char_length("target_name") >= SHORT_NAME)).join(lang, F.col("file") == F.col("_lp"), "left").drop("_lp")
-        u = u.withColumn("dir", dirname(F.col("file")))
         bare = u.where("receiver is null")
-        any_, adm = bare_scopes(bare.select("file", F.col("target_name").alias("call")).distinct(), bindings, self.targets, files)
+        any_, self.admitted = store_all(*bare_scopes(bare.select("file", F.col("target_name").alias("call")).distinct(), bindings, self.targets, files))
         flag = any_.select("file", F.col("call").alias("target_name"), F.lit(True).alias("open"))
         bare = bare.join(flag, ["file", "target_name"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         member = u.where("receiver is not null and not coalesce(self_receiver, false)")
@@ -145,7 +146,8 @@ class Scoped:
         ren = bindings.where(renaming() & ~wildcard()).select("file", F.col("alias").alias("target_name"), "source_module", F.col("name").alias("export")).join(self.targets, ["file", "source_module"], "left")
         a = refs.where("receiver is null").join(ren.drop("source_module"), ["file", "target_name"]).join(files.select(F.col("path").alias("_p")), F.col("file") == F.col("_p"), "left_semi")
         alias = a.select("ref_id", "source_id", "target_id", "file", "line", "export", F.col("target").alias("to")).distinct()
-        self.admitted, self.bare, self.member, self.alias = store_all(adm, bare, member, alias)
+        here = dirname(F.col("file"))
+        self.bare, self.member, self.alias = store(bare.withColumn("dir", here)), store(member.withColumn("dir", here)), store(alias)
 
     def fan_in(self) -> DataFrame:
         """(id, callers): call sites per symbol; symbols without any are left out.
@@ -205,17 +207,17 @@ class Scoped:
             self._split = Split(self)
         return self._split
 
-    def edges(self, targets: DataFrame, own: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    def edges(self, targets: DataFrame, own: bool = False, pairs: DataFrame | None = None, keep=lambda df: df) -> DataFrame:
         """(id, ref_id, source_id, file, line, strength) of the calls of given symbols.
 
         For a stated set of targets; calls meet them by name. ``own`` gives unresolved
         recursion alone, which meets on the calling symbol. With ``pairs`` (id, file), unresolved
-        calls meet a symbol only from its files there.
+        calls meet a symbol only from its files there. ``keep`` is applied to what is found on the way.
         """
         t = targets.select(*[F.col(c).alias(f"t_{c}") for c in self.symbols.columns])
         long = t.where(F.char_length("t_name") >= SHORT_NAME)
         if pairs is not None:
-            long = long.join(pairs.select(F.col("id").alias("t_id"), F.col("file").alias("t_from")), "t_id")
+            long = keep(long.join(pairs.select(F.col("id").alias("t_id"), F.col("file").alias("t_from")), "t_id"))
 
         def meet(refs, name="target_name"):
             on = F.col(name) == F.col("t_name")
@@ -243,9 +245,9 @@ class Scoped:
         found = found.unionByName(m.select(*cols, "receiver")).unionByName(a.select(*cols, F.lit(None).cast("string").alias("receiver"))).distinct()
         if own:
             return found
-        out = self.classed(found, dirname(F.col("file")) == F.col("tdir")).select("id", "ref_id", "source_id", "file", "line", "strength")
+        out = self.classed(keep(found), dirname(F.col("file")) == F.col("tdir")).select("id", "ref_id", "source_id", "file", "line", "strength")
         hit = self.refs.where("target_id is not null and not coalesce(source_id = target_id, false)").join(t.select("t_id"), F.col("target_id") == F.col("t_id"))
-        return out.unionByName(hit.select(F.col("t_id").alias("id"), "ref_id", "source_id", "file", "line", F.lit("resolved").alias("strength"))).distinct()
+        return out.unionByName(hit.select(F.col("t_id").alias("id"), "ref_id", "source_id", "file", "line", F.lit("resolved").alias("strength")).distinct())
 
     def classed(self, found: DataFrame, near=None) -> DataFrame:
         """``found`` (file, name, receiver, ...) with the strength of its unresolved edges; ``near`` are bare calls from the symbol's folder."""
@@ -283,7 +285,7 @@ class Split:
         cols, none = ["ref_id", "source_id", "file", "line"], F.lit(None).cast("string").alias("receiver")
 
         def reaching(df, name, receiver, *classes):
-            return df.select(*cols, F.col(name).alias("name"), receiver, F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
+            return df.select(*cols, F.col(name).alias("name"), receiver, F.array(*[F.lit(c) for c in classes]).alias("_of"))
 
         alias = s.alias.where("target_id is null")
         found = (
@@ -291,7 +293,7 @@ class Split:
             .unionByName(reaching(s.member.where("reach = 'all'"), "target_name", F.col("receiver"), "bm", "bmp", "m", "mp"))
             .unionByName(reaching(s.member.where("reach = 'top'"), "target_name", F.col("receiver"), "bmp", "mp"))
         )
-        found = found.join(self.members.select("cls", "name").distinct(), ["cls", "name"], "left_semi").distinct()
+        found = found.join(self.members.select("cls", "name").distinct(), "name").where(F.array_contains("_of", F.col("cls"))).drop("_of").distinct()
         self.general = store(s.classed(found).select("cls", "name", *cols, "strength"))
         called = s.bare.select("file", F.col("target_name").alias("name")).unionByName(s.member.select("file", F.col("target_name").alias("name"))).unionByName(alias.select("file", F.col("export").alias("name"))).distinct()
         there = self.members.select("id", "cls", "name", F.col("file").alias("at"), F.col("dir").alias("in"))
@@ -304,7 +306,7 @@ class Split:
         hit = s.refs.where("target_id is not null").select(F.col("target_id").alias("id"), F.col("file").alias("from")).distinct()
         near = near.unionByName(hit.join(self.members, "id").select("id", "cls", "name", F.col("from").alias("file"), "dir"))
         self.pairs = store(near.distinct())
-        self.exact = store(s.edges(s.symbols, pairs=self.pairs))
+        self.exact = store(s.edges(s.symbols, pairs=self.pairs, keep=store))
 
     def meet(self, g: DataFrame, some: int = 4_000_000, most: int = 64) -> DataFrame:
         """Rows of ``g`` (cls, name, file, caller, ...) with every symbol (id) of their class and name, pairs left out.

@@ -185,7 +185,7 @@ def blast_radius_depth2(spark: SparkSession, d: str) -> DataFrame:
 @query("impact_by_hop", _NAMED + "SELECT id, depth, count(*) AS callers FROM hp GROUP BY ALL")
 def impact_by_hop(spark: SparkSession, d: str) -> DataFrame:
     """Callers by name of every symbol per hop."""
-    return graph.named_callers_by_hop(scoped(spark, d).split()).groupBy("id", "depth").agg(F.count("*").alias("callers"))
+    return graph.named_callers_by_hop(scoped(spark, d).split())
 
 
 @query("blast_radius_resolved", _STRICT_BLAST)

@@ -330,6 +330,18 @@ def test_blast_radius_of_hot_names_is_counted_without_their_product(spark, hot,
         assert sorted(map(tuple, q.blast_radius_depth2(spark, "").collect())) == counts
 
 
+def test_impact_of_hot_names_is_counted_without_their_product(spark, hot, monkeypatch):
+    from codestrata.plans import call_queries as q
+
+    sc, want = hot
+    monkeypatch.setattr(q, "scoped", lambda *_: sc)
+    counts = sorted((i, k, len(c)) for i, by in want.items() for k, c in enumerate(by, 1) if c)
+    sc.split()
+    rows = kept_rows(monkeypatch)
+    assert sorted(map(tuple, q.impact_by_hop(spark, "").collect())) == counts
+    assert sum(x[2] for x in counts) > 4 * max(rows)
+
+
 def test_search_matches_prefix_and_near_terms(spark):
     s = spark.createDataFrame([sym("eq", "leaseHolder", "a.ts"), sym("pre", "leasesOpen", "b.ts"), sym("near", "leaveNow", "c.ts"), sym("far", "learner", "d.ts"), sym("nl", "größeÄndern", "e.ts"), sym("fq", "other", "resolver/x.ts"), sym("nt", "mustResolve", "f.ts")], SYM)
     rows = search.search_symbols(s, ["lease"]).collect()
